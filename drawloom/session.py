@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the workers once a context, however the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_drawloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="drawloom-py-"), "drawloom.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("drawloom", os.path.relpath(full, package)))
+    context.addPyFile(path)
+    context._drawloom_shipped = True
