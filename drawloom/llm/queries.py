@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from drawloom.llm.linkage import cluster_drawings, describe_clusters
 from drawloom.llm.neighbours import nearest_drawings, similar_pairs
+from drawloom.llm.overlap import overlap_report, overlaps
 from drawloom.sources.tables import read_table
 
 
+def p1_found(spark, d):
+    """Pairs of an evaluation and a train drawing that are the same drawing."""
+    pairs = overlaps(read_table(spark, d, "examples"))
+    return pairs.select(F.least("eval_id", "train_id").alias("row_a"), F.greatest("eval_id", "train_id").alias("row_b"))
+
+
+def p1_report(spark, d):
+    """The overlaps counted by evaluation split and source."""
+    examples = read_table(spark, d, "examples")
+    return overlap_report(overlaps(examples), examples)
+
+
 def p4_found(spark, d):
     """Pairs of drawings of which one is among the five most similar of the other."""
     return similar_pairs(nearest_drawings(read_table(spark, d, "examples")))
 
 
+def p5_found(spark, d):
+    """The cluster of every usable train drawing."""
+    return cluster_drawings(read_table(spark, d, "examples")).select("row_id", "cluster_row")
+
+
+def p5_clusters(spark, d):
+    """Size and most typical drawings of every cluster."""
+    return describe_clusters(cluster_drawings(read_table(spark, d, "examples")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1].isdigit()}
 ORACLE: dict[str, str] = {}
