@@ -5,8 +5,11 @@ same whole number of times; what is still missing is a sample in which every
 document has the same inclusion probability. The flight phase moves the
 probabilities along null-space directions of the constraints (tokens and number
 of documents stay as they are) until all but two are 0 or 1. Groups of at most
-GROUP documents fly beside each other; what they leave undecided flies again
-together, and the last two documents land where the token total is met best.
+GROUP documents fly beside each other. What they leave undecided is mostly the few
+largest documents, which nothing can be set against; these are decided by lot,
+and a reserve of about RESERVE ordinary documents a source, held back until
+then, makes up for the difference in its own flight. The last two of these land
+where the token total is met best.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from drawloom.llm.storage import stored
 GROUP = 50_000
 #: Rows of the target table that may be broadcast; more raise an error.
 MAX_TARGETS = 100_000
+#: Documents of at most average size held back of each source, about.
+RESERVE = 256
 SURE = 1e-9
 
 
@@ -58,12 +63,11 @@ def flight(x: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return p
 
 
-def land(x: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the undecided (at most a few): the choice whose tokens come nearest to what is expected, random among equals."""
+def land(x: np.ndarray, p: np.ndarray, wanted: float, rng: np.random.Generator) -> np.ndarray:
+    """Decides the undecided (at most a few): the choice whose tokens come nearest to wanted, random among equals."""
     p = p.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
-        wanted = float((p[open_] * x[open_]).sum())
         choices = np.array(np.meshgrid(*[[0.0, 1.0]] * len(open_))).reshape(len(open_), -1).T
         off = np.abs(choices @ x[open_].astype(float) - wanted)
         best = np.flatnonzero(off <= off.min() + SURE)
@@ -71,20 +75,37 @@ def land(x: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
+def settle(x: np.ndarray, p: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decides everything: the undecided by lot, then the held ones so that the token total comes near sum(p * x)."""
+    wanted = float((p * x).sum())
+    out = np.where(held, p, (rng.random(len(p)) < p).astype(float))
+    weight = float(x[held].sum())
+    if weight:
+        # the held documents take on what the lot left over, as far as probabilities allow
+        for _ in range(4):
+            short = wanted - float((out * x).sum())
+            free = held & ((out < 1) if short > 0 else (out > 0))
+            if abs(short) < SURE or not free.any():
+                break
+            out[free] = (out[free] + short / float(x[free].sum())).clip(0, 1)
+        out[held] = flight(x[held], out[held], rng)
+    open_ = np.flatnonzero((out > 0) & (out < 1))
+    fixed = float((out * x).sum()) - float((out[open_] * x[open_]).sum())
+    return land(x, out, wanted - fixed, rng)
+
+
 def fly(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         doc = table.column("doc_id").to_numpy()
-        order = np.argsort(doc, kind="stable")
-        x, p = table.column("tokens").to_numpy()[order], table.column("p").to_numpy()[order]
-        mark = [seed, table.column("target")[0].as_py(), table.column("grp")[0].as_py()]
-        rng = np.random.default_rng(mark)
-        shuffled = rng.permutation(len(order))
-        x, p, doc = x[shuffled], p[shuffled], doc[order][shuffled]
-        p = flight(x, p, rng)
+        rng = np.random.default_rng([seed, table.column("target")[0].as_py(), table.column("grp")[0].as_py()])
+        order = rng.permutation(len(doc))[np.argsort(np.argsort(doc))]  # a random order that does not depend on how rows came
+        order = np.argsort(order)
+        doc, x, p = (table.column(c).to_numpy()[order] for c in ("doc_id", "tokens", "p"))
         if last:
-            p = land(x, p, rng)
-        n = len(doc)
-        return pa.table([table.column("target"), pa.array(doc), pa.array(x), pa.array(p)], names=["target", "doc_id", "tokens", "p"]) if n else table.select(["target", "doc_id", "tokens", "p"])
+            p = settle(x.astype(float), p, table.column("held").to_numpy()[order], rng)
+        else:
+            p = flight(x, p, rng)
+        return pa.table([table.column("target"), pa.array(doc), pa.array(x), pa.array(p)], names=["target", "doc_id", "tokens", "p"])
 
     return run
 
@@ -128,12 +149,15 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     rows = plan(sized, targets)
     schema = "target int, mix_id string, source string, key string, target_share double, total_tokens bigint, wanted double, have bigint, docs bigint, base int, p double, reachable boolean"
     planned = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
-    facts = planned.select("target", "key", "base", "p", F.greatest(F.lit(1), F.ceil(F.col("docs") / group)).cast("int").alias("groups"))
+    facts = planned.select("target", "key", "base", "p", "docs", "have", F.greatest(F.lit(1), F.ceil(F.col("docs") / group)).cast("int").alias("groups"))
     fit = sized.join(F.broadcast(facts), "key")
     whole = fit.where("base > 0").select("target", "doc_id", "tokens", F.col("base").alias("uses"))
-    open_ = fit.where("p > 0").withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).cast("int")).select("target", "grp", "doc_id", "tokens", "p")
+    dealt = fit.where("p > 0").withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).cast("int"))
+    # about RESERVE of the documents of at most average size
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(seed + 7)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * RESERVE / F.col("docs")
+    dealt = dealt.withColumn("held", lot & (F.col("tokens") * F.col("docs") <= F.col("have"))).select("target", "grp", "doc_id", "tokens", "p", "held")
     out_schema = "target int, doc_id bigint, tokens bigint, p double"
-    flown = stored(open_.groupBy("target", "grp").applyInArrow(fly(seed, False), out_schema), "flown")
+    flown = stored(dealt.where("not held").groupBy("target", "grp").applyInArrow(fly(seed, False), out_schema), "flown")
     parts = [flown.where("p >= 1")]
     left = flown.where("p > 0 and p < 1")
     most = max([r["docs"] for r in rows], default=0)
@@ -144,7 +168,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
         flown = stored(again.groupBy("target", "grp").applyInArrow(fly(seed + most, False), out_schema), "flown")
         parts.append(flown.where("p >= 1"))
         left = flown.where("p > 0 and p < 1")
-    landed = left.withColumn("grp", F.lit(0)).groupBy("target", "grp").applyInArrow(fly(seed + 1, True), out_schema)
+    ends = left.withColumn("held", F.lit(False)).unionByName(dealt.where("held").drop("grp"))
+    landed = ends.withColumn("grp", F.lit(0)).groupBy("target", "grp").applyInArrow(fly(seed + 1, True), out_schema)
     parts.append(landed.where("p >= 1"))
     uses = whole
     for part in parts:
