@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from drawloom.llm.linkage import cluster_drawings, describe_clusters
 from drawloom.llm.mixing import mix
 from drawloom.llm.neighbours import nearest_drawings, similar_pairs
+from drawloom.llm.oracle import ORACLE
 from drawloom.llm.overlap import overlap_report, overlaps
 from drawloom.llm.packing import pack, packing_report, split_documents
 from drawloom.llm.proportions import proportional_sample
@@ -117,4 +118,5 @@ def p8_pages(spark, d):
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("p") and name[1].isdigit()}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
