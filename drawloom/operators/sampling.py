@@ -11,8 +11,9 @@ from drawloom.operators.batching import KEY_PRIME, ranked, shuffle_key
 def with_replacement(rows: DataFrame, count: int, seed: int) -> DataFrame:
     """`count` draws of row positions (draw, row...), a row possibly more than once.
 
-    Positions are drawn by a hash of (seed, draw); what is broadcast are the `count` draws. No rows give no draws.
+    Positions are drawn by a hash of (seed, draw); what is broadcast are the `count` draws. No rows give no draws; a column `draw` of rows is replaced.
     """
+    rows = rows.drop("draw")
     numbered = ranked(rows, shuffle_key(F.col("row_id"), seed), "row_id", KEY_PRIME, "__drawloom_at")
     n = rows.where(F.col("row_id").isNotNull()).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
     draws = rows.sparkSession.range(count).select(F.col("id").cast("int").alias("draw")).join(F.broadcast(n))
