@@ -176,20 +176,27 @@ def log_odds(p):
     return F.ln(clipped / (1 - clipped))
 
 
-def spam_pages(documents: DataFrame, threshold: float = 0.5, host_weight: float = HOST_WEIGHT) -> DataFrame:
-    """(doc_id, host, p, host_rate, smoothed, is_spam) of every document.
+def smooth(judged: DataFrame, threshold: float = 0.5, host_weight: float = HOST_WEIGHT) -> DataFrame:
+    """judged (doc_id, host, p) with host_rate, smoothed and is_spam.
 
     smoothed adds to the log odds of p how far the host's mean p, shrunk by
-    HOST_PRIOR pages, lies from that of all pages. Documents without source are
-    not smoothed; null and empty texts are no spam; null doc_ids are left out;
-    each row of a repeated text is judged. An empty table gives no rows.
+    HOST_PRIOR pages, lies from that of all pages. Pages without host are not
+    smoothed, and a page that is certainly no spam (p 0) stays so.
     """
-    pages = stored(described(documents), "pages")
-    judged = stored(judge(pages, fit(pages)), "judged")
     prior = judged.agg(F.avg("p")).first()[0] or 0.0
     hosts = judged.where("host is not null").groupBy("host").agg(((F.sum("p") + HOST_PRIOR * prior) / (F.count(F.lit(1)) + HOST_PRIOR)).alias("host_rate"))
-    joined = judged.join(hosts, "host", "left")
     shift = F.coalesce(host_weight * (log_odds(F.col("host_rate")) - log_odds(F.lit(prior))), F.lit(0.0))
     odds = log_odds(F.col("p")) + shift
     smoothed = F.when(F.col("p") > 0, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0))
-    return joined.withColumn("smoothed", smoothed).withColumn("is_spam", F.col("smoothed") > threshold)
+    return judged.join(hosts, "host", "left").withColumn("smoothed", smoothed).withColumn("is_spam", F.col("smoothed") > threshold)
+
+
+def spam_pages(documents: DataFrame, threshold: float = 0.5, host_weight: float = HOST_WEIGHT) -> DataFrame:
+    """(doc_id, host, p, host_rate, smoothed, is_spam) of every document.
+
+    Null and empty texts are no spam; null doc_ids are left out; each row of a
+    repeated text is judged; documents without source are not smoothed. An
+    empty table gives no rows.
+    """
+    pages = stored(described(documents), "pages")
+    return smooth(stored(judge(pages, fit(pages)), "judged"), threshold, host_weight)
