@@ -34,6 +34,7 @@ STAND_INS = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0"
 INVISIBLE = re.compile("[­᠎​-‏⁠-⁤﻿]")
 APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([.\-_*·])[^\W\d_])(?:\1[^\W\d_])*(?![^\W\d_])")
 MIXED = re.compile(r"(?<![\w@$])(?=[\w@$!+]*[^\W\d_])(?=[\w@$!+]*[@$\d])[\w@$!+]{2,}(?![\w@$])")
+HINT = re.compile(r"[@$]|[^\W\d_][\d!+]|\d[^\W\d_]")
 TAG = re.compile(r"<[^<>]{0,2000}>")
 LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,10}/\S*", re.I)
 HASHTAG = re.compile(r"(?<!\S)#[^\s#]+")
@@ -44,6 +45,7 @@ UNIT = re.compile(r"\n+|(?<=[.!?])\s+")
 ANCHOR = re.compile(r"<a\s[^<>]{0,2000}>[^<>]{0,500}</a>|\[[^\[\]\n]{0,500}\]\([^()\n]{0,2000}\)", re.I)
 TITLED = re.compile(r"\[([^\[\]\n]{0,500})\]\([^()\n]{0,2000}\)")
 CODE = re.compile(r"[=(){}\[\]+*'\"_<>@]")
+STATEMENT = re.compile(r"\s{4}|\t|(?:if|for|while|def|class|return|import|from|else|elif|try|with)\b.*[:@()\[\]]\s*$|(?:return|import)\s\S+|[\w.\[\]]+\s*[-+*/%|&]?=\s*\S")
 NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 
 NAMES = (
@@ -80,17 +82,22 @@ def plain(text: str) -> tuple[str, float]:
         swapped[0] += 1
         return s.translate(STAND_INS)
 
-    out = MIXED.sub(letters, out)
+    if HINT.search(out):
+        out = MIXED.sub(letters, out)
     words = max(1, out.count(" ") + out.count("\n") + 1)
     return out, min(1.0, (min(hidden, words) + spread[0] + swapped[0]) / words)
 
 
+def links_in(text: str) -> list[str]:
+    return LINK.findall(text) if "/" in text or "www." in text.lower() else []
+
+
 def is_record(line: str) -> bool:
     """A line of code, of a log or of a table: many numbers or signs of code for its words, and no link, tag or goods."""
-    if "<a" in line or LINK.search(line) or GOODS.search(line) and "sku" in line.lower() or HASHTAG.search(line):
+    if "<a" in line or links_in(line) or "#" in line and HASHTAG.search(line) or ("SKU" in line or "sku" in line):
         return False
     numbers = len(NUMBER.findall(line))
-    return numbers >= 2 and numbers >= 0.2 * line.count(" ") or len(CODE.findall(line)) >= max(3, len(line) / 25) or line.startswith(("if ", "for ", "    "))
+    return numbers >= 2 and numbers >= 0.2 * line.count(" ") or len(CODE.findall(line)) >= max(3, len(line) / 25) or bool(STATEMENT.match(line))
 
 
 def features(text: str | None) -> list[float]:
@@ -111,9 +118,10 @@ def features(text: str | None) -> list[float]:
     anchors = ANCHOR.findall(open_text)
     # of an anchor or a link with its title, the title stays among the words
     bare = TAG.sub(" ", TITLED.sub(r" \1 ", open_text))
-    linked = sum(map(len, LINK.findall(open_text)))
-    tagged = sum(map(len, HASHTAG.findall(bare)))
-    body = HASHTAG.sub(" ", LINK.sub(" ", bare))
+    linked = sum(map(len, links_in(open_text)))
+    tagged = sum(map(len, HASHTAG.findall(bare))) if "#" in bare else 0
+    body = LINK.sub(" ", bare) if linked else bare
+    body = HASHTAG.sub(" ", body) if tagged else body
     cased = WORD.findall(body)
     words = [w.lower() for w in cased]
     n, m = len(words), max(len(words), 1)
@@ -150,9 +158,9 @@ def features(text: str | None) -> list[float]:
         if rate < 0.13:
             bare_units += len(unit)
         elif len(ws) >= 4:
-            inner = Counter((a, b) for a, b in zip(ws, ws[1:]) if a not in FUNCTION_WORDS)
-            inner.update(w for w in ws if w not in FUNCTION_WORDS and counts[w] > 2)
-            if any(c >= (2 if isinstance(k, tuple) else 3) for k, c in inner.items()):
+            twos = [(a, b) for a, b in zip(ws, ws[1:]) if a not in FUNCTION_WORDS]
+            often = [w for w in ws if w not in FUNCTION_WORDS and counts[w] > 2]
+            if len(set(twos)) < len(twos) or len(often) > 2 and max(Counter(often).values()) > 2:
                 stuffed += 1
             else:
                 prose += len(unit)

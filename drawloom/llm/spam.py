@@ -21,7 +21,7 @@ from drawloom.llm.sizing import source_key
 from drawloom.llm.storage import stored
 
 #: Labelled pages of each class that the trees are fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 15_000
 #: Labelled pages of each class below which the weak labels decide alone.
 ENOUGH = 25
 TREES, DEPTH, LEAF, CUTS = 30, 7, 4, 48
@@ -47,6 +47,8 @@ def weak_label(row: list[float]) -> int:
         and (f["top_word"] < 0.2 and f["top_pair"] < 0.1 or f["record_share"] > 0.5)
         or f["function_rate"] >= 0.3 and f["junk_share"] < 0.1 and f["offer_rate"] < 0.06 and f["top_word"] < 0.2 and f["top_triple"] < 0.12
         or f["record_share"] > 0.6 and f["offer_rate"] < 0.15
+        or f["prose_share"] + f["record_share"] > 0.62 and f["junk_share"] < 0.4 and f["offer_rate"] < 0.1 and f["stuffed_sentences"] < 0.2
+        and f["top_word"] < 0.12 and f["top_triple"] < 0.06
     )
     return UNKNOWN if spam == ham else SPAM if spam else HAM
 
