@@ -14,7 +14,7 @@ from drawloom.operators import metrics as M
 from drawloom.operators import network as N
 from drawloom.operators import sampling as S
 from drawloom.operators import trainer as T
-from drawloom.sources.tables import latest, read_table, split_name
+from drawloom.sources.tables import latest, latest_wide, read_table, split_name
 from drawloom.streaming.running_metrics import running_accuracy
 
 CLASSES, WIDTH = 10, 784
@@ -22,7 +22,8 @@ CLASSES, WIDTH = 10, 784
 
 def _examples(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """The latest delivery of every row_id, only the columns asked for."""
-    return latest(read_table(spark, d, "examples").select("row_id", "loaded_at", *columns)).drop("loaded_at")
+    pick = latest_wide if "x" in columns else latest
+    return pick(read_table(spark, d, "examples").select("row_id", "loaded_at", *columns)).drop("loaded_at")
 
 
 def _train(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -350,6 +351,14 @@ def q_train_steps(spark, d):
     return steps.where(~F.col("last")).select("run_id", "epoch", "batch_id", "n", F.round("loss", 6).alias("loss"))
 
 
+def q_train_experiments(spark, d):
+    """The seven recorded configurations, each over the shortened pass from seeded initial weights, beside each other."""
+    rows = _places(spark, d).join(_labelled(_train(spark, d, "x", "y")), "row_id").select("epoch", "batch_id", "pos", "x", "y")
+    runs = {name: (N.xavier(layers, WIDTH, seed=k), L.Loss(loss), lr) for k, (name, (layers, loss, lr, _, _)) in enumerate(N.EXPERIMENTS.items())}
+    losses = T.epoch_losses(T.train_minibatch(rows, runs, batch_limit=625))
+    return losses.select("run_id", "epoch", "num_batches", F.round("avg_loss", 6).alias("avg_loss"))
+
+
 def q_train_history(spark, d):
     """Train, then evaluate, with the metric that is never reset; x is scaled to 0..1 here."""
     e = _labelled(_examples(spark, d, "split", "x", "y")).withColumn("x", F.transform("x", lambda v: v / F.lit(255.0)))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from drawloom.session import table_path
+from drawloom.session import cut, table_path
+
+#: Keys that may be broadcast: 16 MB.
+BROADCAST_ROWS = 1_000_000
 
 SCHEMAS = {
     "examples": "row_id bigint, split string, x array<float>, y array<float>",
@@ -68,6 +71,22 @@ def latest(examples: DataFrame, key: str = "row_id", version: str = "loaded_at")
     return examples.where(F.col(key).isNotNull()).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
+def latest_wide(rows: DataFrame, key: str = "row_id", version: str = "loaded_at") -> DataFrame:
+    """latest() for wide rows of which few are delivered again: only those are moved.
+
+    The repeated keys are found on (key, version) alone. They are broadcast if
+    they are at most BROADCAST_ROWS (16 bytes each); beyond that they are joined
+    by shuffle.
+    """
+    top = "__drawloom_top"
+    narrow = rows.where(F.col(key).isNotNull()).select(key, version)
+    repeated = cut(narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(version).alias(top)).where("n > 1").drop("n"))
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    once = rows.where(F.col(key).isNotNull()).join(side.select(key), key, "left_anti")
+    again = latest(rows.join(side, key).where(F.col(version).eqNullSafe(F.col(top))).select(*rows.columns), key, version)
+    return once.unionByName(again)
+
+
 def split_name(column: str = "split"):
     """Split names without stray blanks or case."""
     return F.lower(F.trim(F.col(column)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions import arrays as A
 from drawloom.functions import losses as L
-from drawloom.sources.tables import from_arrays, latest, read_table, to_arrays, write_table
+from drawloom.sources.tables import from_arrays, latest, latest_wide, read_table, to_arrays, write_table
 
 
 def one(spark, value, kind, expression):
@@ -86,6 +86,9 @@ def test_latest(spark):
     got = {r.row_id: r.v for r in latest(df).collect()}
     assert got[1] == "b" and got[2] == "d" and got[3] in "xy" and set(got) == {1, 2, 3}
     assert latest(df.where("false")).count() == 0
+    wide = latest_wide(df.withColumn("top", F.lit(1)))
+    assert sorted(map(tuple, wide.drop("top").collect())) == sorted(map(tuple, latest(df).collect())) and "top" in wide.columns
+    assert latest_wide(df.where("false")).count() == 0
 
 
 def test_round_trip_of_arrays(spark, tmp_path):
