@@ -23,6 +23,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str, most: int = 16_384) -> DataFrame:
+    """df partitioned by keys into enough tasks that each meets about `most` of its `rows` rows.
+
+    A later groupBy on the same keys needs no further exchange, and the number is not merged away at run time.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // most)), *keys)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
