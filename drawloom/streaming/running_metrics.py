@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawloom.operators.metrics import scored
-from drawloom.session import table_path
 from drawloom.sources.tables import SCHEMAS
 
 
@@ -36,6 +35,3 @@ def stream_to_table(spark: SparkSession, stream: DataFrame, name: str, checkpoin
     )
     query.awaitTermination()
     return spark.table(name)
-
-
-__all__ = ["predictions_stream", "running_accuracy", "stream_to_table", "table_path"]
