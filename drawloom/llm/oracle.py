@@ -8,17 +8,21 @@ n AS (SELECT *, sqrt(list_inner_product(x, x)) AS len FROM u)"""
 LABEL = """CASE WHEN y IS NOT NULL AND len(y) = 10 AND len(list_filter(y, lambda v: v IS NULL OR isnan(v))) = 0
   AND len(list_filter(y, lambda v: v = list_max(y))) = 1 THEN list_position(y, list_max(y)) - 1 END"""
 
+#: (eval_id, train_id) of pairs that are one drawing at some displacement of at most one pixel.
+SAME = f"""{DRAWINGS}, d AS (SELECT a.down, b.right_ FROM (VALUES (-1), (0), (1)) a(down), (VALUES (-1), (0), (1)) b(right_)),
+  m AS (SELECT row_id, len, list_transform(range(784), lambda i: CASE WHEN i // 28 - down BETWEEN 0 AND 27 AND i % 28 - right_ BETWEEN 0 AND 27
+    THEN x[i - down * 28 - right_ + 1] ELSE 0 END) AS x FROM n, d WHERE NOT train),
+  same AS (SELECT DISTINCT m.row_id AS eval_id, n.row_id AS train_id FROM m, n
+    WHERE n.train AND list_inner_product(m.x::DOUBLE[], n.x) / (m.len * n.len) > 0.96)"""
 #: Smallest row_id within so many steps; chains of the small tables, on which SQL is run, are shorter.
 ROUNDS = "l0 AS (SELECT row_id, row_id AS low FROM t), " + ", ".join(
     f"l{k} AS MATERIALIZED (SELECT e.a AS row_id, min(l{k - 1}.low) AS low FROM e JOIN l{k - 1} ON l{k - 1}.row_id = e.b GROUP BY e.a)" for k in range(1, 9)
 )
 
 ORACLE = {
-    "p1_found": f"""WITH {DRAWINGS}, d AS (SELECT a.down, b.right_ FROM (VALUES (-1), (0), (1)) a(down), (VALUES (-1), (0), (1)) b(right_)),
-      m AS (SELECT row_id, len, list_transform(range(784), lambda i: CASE WHEN i // 28 - down BETWEEN 0 AND 27 AND i % 28 - right_ BETWEEN 0 AND 27
-        THEN x[i - down * 28 - right_ + 1] ELSE 0 END) AS x FROM n, d WHERE NOT train)
-      SELECT DISTINCT least(m.row_id, n.row_id) AS row_a, greatest(m.row_id, n.row_id) AS row_b FROM m, n
-      WHERE n.train AND list_inner_product(m.x::DOUBLE[], n.x) / (m.len * n.len) > 0.96""",
+    "p1_found": f"WITH {SAME} SELECT least(eval_id, train_id) AS row_a, greatest(eval_id, train_id) AS row_b FROM same",
+    "p1_report": f"""WITH {SAME}, e AS (SELECT row_id, arg_max(lower(trim(split)), loaded_at) AS split, coalesce(arg_max(coalesce(lower(trim(source)), ''), loaded_at), '') AS source FROM examples GROUP BY row_id)
+      SELECT split, source, count(*) AS n_pairs, count(DISTINCT eval_id) AS n_eval, count(DISTINCT train_id) AS n_train FROM same JOIN e ON e.row_id = eval_id GROUP BY split, source""",
     "p3_found": f"""WITH e AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY loaded_at DESC) AS rn FROM examples) WHERE rn = 1),
       c AS (SELECT label, count(*) AS n FROM (SELECT {LABEL} AS label FROM e WHERE lower(trim(split)) = 'train') WHERE label IS NOT NULL GROUP BY label)
       SELECT t.plan_id, t.label FROM class_targets t LEFT JOIN c ON c.label = t.label
