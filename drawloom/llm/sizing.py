@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drawloom.llm.storage import busy
+
 #: Rank file of a byte-level vocabulary; every worker must find it here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts were split before merging (a fixed value of that vocabulary).
@@ -32,7 +34,7 @@ def encoding(path: str):
 def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", tokens: str = "tokens") -> DataFrame:
     """documents without text but with its number of tokens; null and empty texts have 0. Whole texts are counted."""
     others = [c for c in documents.columns if c not in (text, tokens)]
-    narrow = documents.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`"))
+    narrow = busy(documents.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`")))
 
     def run(batches):
         count = encoding(vocabulary).encode_ordinary

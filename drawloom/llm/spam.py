@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from drawloom.llm.collisions import hash_share
 from drawloom.llm.page_features import NAMES, features
 from drawloom.llm.sizing import source_key
-from drawloom.llm.storage import stored
+from drawloom.llm.storage import busy, stored
 
 #: Labelled pages of each class that the trees are fitted on, at most.
 SAMPLE = 15_000
@@ -132,7 +132,7 @@ def score(trees: list[Tree], x: np.ndarray) -> np.ndarray:
 
 def described(documents: DataFrame) -> DataFrame:
     """(doc_id, host, f, weak): features and weak label of every document; whole texts are read. Empty texts have label HAM."""
-    narrow = documents.where("doc_id is not null").select("doc_id", source_key("source").alias("host"), "text")
+    narrow = busy(documents.where("doc_id is not null").select("doc_id", source_key("source").alias("host"), "text"))
 
     def run(batches):
         for batch in batches:

@@ -23,6 +23,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def busy(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores.
+
+    Only inputs too small to be split further by their readers are moved; a
+    large table has more partitions than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spread(df: DataFrame, rows: int, *keys: str, most: int = 16_384) -> DataFrame:
     """df partitioned by keys into enough tasks that each meets about `most` of its `rows` rows.
 
