@@ -18,6 +18,7 @@ shrinks by the clusters each sample meets.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,7 +41,7 @@ class Parameters:
     radii: tuple[float, ...] = (0.5, 0.62, 0.76, 0.95)
     threshold: int = 18  #: collisions of 64 from which a representative is verified
     sample: int = 4096  #: drawings a round that representatives are chosen from
-    rounds: int = 12
+    rounds: int = 12  #: rounds after which a warning tells that representatives go on growing with the data
     grid: int = 512  #: prefixes kept of each sorted order
     border: float = 0.6  #: a drawing is also a guest of further cells whose representative is this near
     near_cells: float = 0.5  #: representatives this near make their cells neighbours
@@ -154,8 +155,9 @@ class Index:
         """Of each representative, the others near enough to share guests."""
         if not hasattr(self, "_neighbours"):
             out = []
-            for lo in range(0, len(self.reps), 1024):
-                s = self.reps[lo : lo + 1024] @ self.reps.T
+            strip = strip_of(len(self.reps), 1024)
+            for lo in range(0, len(self.reps), strip):
+                s = self.reps[lo : lo + strip] @ self.reps.T
                 s[np.arange(len(s)), lo + np.arange(len(s))] = -1
                 out.extend(np.flatnonzero(r >= self.p.near_cells) for r in s)
             self._neighbours = out
@@ -174,6 +176,11 @@ class Index:
         return np.concatenate(rows), np.concatenate(cells)
 
 
+def strip_of(reps: int, most: int) -> int:
+    """Rows that meet all representatives at a time: `most`, or fewer so that their cosines stay within 128 MB."""
+    return max(1, min(most, (1 << 25) // max(reps, 1)))
+
+
 def leaders(u: np.ndarray, ids: np.ndarray, similarity: float) -> np.ndarray:
     """Positions such that every vector is near one of them, greedily in the order of ids."""
     order = np.argsort(ids, kind="stable")
@@ -209,17 +216,21 @@ def build(rows: DataFrame, p: Parameters | None = None, n: int | None = None) ->
     """Puts every row of `rows` (row_id, v, further columns) into a cell.
 
     n is the number of rows or an upper bound, to save counting rows that are
-    costly to make. Cells are at most rounds * sample many, which bounds all
-    that reaches the driver. Drawings left over after the last round (none,
-    unless the data holds more separate clusters than that) are in cell -1.
+    costly to make. Rounds go on until nothing is left over; each places its
+    representatives at least. Data with more separate clusters than
+    rounds * sample gets as many representatives, 3 kB each in every worker,
+    and a warning.
     """
     p = p or Parameters()
     index = Index(np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), p)
     sizes: dict[int, int] = {}
     rest, parts = rows, []
     n = rows.count() if n is None else n
-    for turn in range(p.rounds):
+    turn = 0
+    while True:
         ids, u = bounded_sample(rest, n, p.sample, p.seed + turn)
+        if not len(ids):  # few row_ids, delivered often, or n far above the rows there are
+            ids, u = bounded_sample(rest, 0, p.sample, p.seed + turn)
         new = leaders(u, ids, p.similarity)
         fresh, base = Index(u[new], ids[new], p), len(index.reps)
         index = Index(np.concatenate([index.reps, fresh.reps]), np.concatenate([index.ids, fresh.ids]), p)
@@ -229,10 +240,11 @@ def build(rows: DataFrame, p: Parameters | None = None, n: int | None = None) ->
         n = counts.pop(-1, 0)
         sizes.update({base + cell: count for cell, count in counts.items()})
         rest = placed.where("cell < 0").drop("cell")
+        turn += 1
         if not n:
             break
-    else:
-        parts.append(rest.withColumn("cell", F.lit(-1)))
+        if turn == p.rounds:
+            warnings.warn(f"{n} drawings are near none of {len(index.reps)} representatives; going on", stacklevel=2)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

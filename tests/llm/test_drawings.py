@@ -157,6 +157,26 @@ def test_neighbours_across_cells_and_rounds(examples, usable):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_rounds_go_on_until_nothing_is_left(examples, usable):
+    ids, x, train = usable
+    p = C.Parameters(sample=10, rounds=1)
+    with pytest.warns(UserWarning, match="going on"):
+        cells = C.build(D.compact(examples), p)
+    assert cells.rows.where("cell < 0").isEmpty()
+    assert len(cells.index.reps) > 1 and {r.row_id for r in cells.rows.collect()} == set(ids.tolist())
+    with pytest.warns(UserWarning):
+        got = {r.row_id: r.cluster_row for r in K.cluster_drawings(examples, p=p).collect()}
+    assert got == components(ids[train], x[train])
+
+
+def test_many_deliveries_of_one_row_are_placed(spark):
+    rng = np.random.default_rng(4)
+    x = [float(v) for v in drawing(rng, shapes(rng, 1)[0])]
+    df = spark.createDataFrame([(1, "train", x)] * 30, "row_id bigint, split string, x array<float>")
+    cells = C.build(D.compact(df), C.Parameters(sample=1, rounds=1))
+    assert cells.sizes == {0: 30} and cells.rows.count() == 30
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rng = np.random.default_rng(3)
     x = [float(v) for v in drawing(rng, shapes(rng, 1)[0])]
