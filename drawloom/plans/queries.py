@@ -352,10 +352,14 @@ def q_train_steps(spark, d):
 
 
 def q_train_experiments(spark, d):
-    """The seven recorded configurations, each over the shortened pass from seeded initial weights, beside each other."""
+    """The seven recorded configurations, each over its own number of batches (E7: all) from seeded initial weights, beside each other.
+
+    The epochs are those of the batches table, not the configured number.
+    """
     rows = _places(spark, d).join(_labelled(_train(spark, d, "x", "y")), "row_id").select("epoch", "batch_id", "pos", "x", "y")
     runs = {name: (N.xavier(layers, WIDTH, seed=k), L.Loss(loss), lr) for k, (name, (layers, loss, lr, _, _)) in enumerate(N.EXPERIMENTS.items())}
-    losses = T.epoch_losses(T.train_minibatch(rows, runs, batch_limit=625))
+    limits = {name: limit for name, (_, _, _, limit, _) in N.EXPERIMENTS.items()}
+    losses = T.epoch_losses(T.train_minibatch(rows, runs, batch_limit=limits))
     return losses.select("run_id", "epoch", "num_batches", F.round("avg_loss", 6).alias("avg_loss"))
 
 

@@ -133,6 +133,18 @@ def test_minibatch_descent_equals_a_plain_loop(spark):
         assert np.allclose([r.w for r in sorted(last, key=lambda r: r.unit)], net[0][0])
 
 
+def test_every_experiment_has_its_own_number_of_batches(spark, tmp_path):
+    from drawloom.plans.queries import QUERIES
+
+    x = np.random.default_rng(9).random((4, 784))
+    examples = [(i, "train", [float(v) for v in x[i]], [float(j == i) for j in range(10)], 1) for i in range(4)]
+    spark.createDataFrame(examples, "row_id bigint, split string, x array<float>, y array<float>, loaded_at int").write.parquet(f"{tmp_path}/examples.parquet")
+    batches = [(0, b, p, 2 * (b % 2) + p, False) for b in (*range(3), 624, 625, 900) for p in range(2)]
+    spark.createDataFrame(batches, "epoch int, batch_id int, pos int, row_id bigint, is_pad boolean").write.parquet(f"{tmp_path}/batches.parquet")
+    got = {r.run_id: r.num_batches for r in QUERIES["q_train_experiments"](spark, str(tmp_path)).collect()}
+    assert got == {f"E{k}": 6 if k == 7 else 4 for k in range(1, 8)}
+
+
 def test_training_learns_and_repeats(spark):
     df = points(spark, 80)
     net = N.xavier([N.Dense(4, "sigmoid"), N.Dense(2)], 3, seed=8)
