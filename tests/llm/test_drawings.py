@@ -236,6 +236,37 @@ def test_clusters_equal_components(examples, usable, block, small):
     assert got == components(ids[train], x[train])
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_chains_cross_cells_whose_representatives_are_far_apart(spark, block):
+    # corners are the representatives, at cosine 0; of two steps between corners, each is at 0.5 to the other's corner
+    corners = np.zeros((7, 784))
+    for k in range(7):
+        corners[k, 100 * k : 100 * k + 100] = 100
+    x = [*corners, *(c for k in (0, 1, 2, 4) for c in (1.73 * corners[k] + corners[k + 1], corners[k] + 1.73 * corners[k + 1]))]
+    x = np.round([v + (np.arange(784) == 783 - i) for i, v in enumerate(x)])
+    ids = np.arange(1, len(x) + 1)
+    df = spark.createDataFrame([(int(i), "train", [float(p) for p in v]) for i, v in zip(ids, x)], "row_id bigint, split string, x array<float>")
+    want = components(ids, x)
+    assert len(set(want.values())) == 3
+    assert {r.row_id: r.cluster_row for r in K.cluster_drawings(df, block=block).collect()} == want
+
+
+def test_bounds_keep_every_near_pair():
+    rng = np.random.default_rng(6)
+    forms = rng.random((6, 784)) ** 4
+    cell = rng.integers(0, 6, 300)
+    u = D.unit((forms[cell] * rng.random((300, 784)) + 0.3 * rng.random((300, 1)) * forms[rng.integers(0, 6, 300)]).astype(np.float32))
+    for least in (0.5, 0.71, 0.8):
+        bounds = K.Bounds(np.array([u[cell == c].mean(axis=0) for c in range(6)]), np.arange(6), float(np.arccos(least)))
+        radii: dict = {}
+        bounds.widest(u, cell, radii)
+        bounds.radii = np.array([radii[c] for c in range(6)])
+        chosen = set(zip(*(a.tolist() for a in bounds.candidates(u, cell))))
+        i, j = np.nonzero((u @ u.T >= least) & (cell[:, None] != cell[None, :]))
+        assert len(i) or least > 0.71
+        assert all((a, cell[b]) in chosen for a, b in zip(i, j))
+
+
 def test_cluster_descriptions(examples, usable):
     ids, x, train = usable
     clusters = components(ids[train], x[train])
