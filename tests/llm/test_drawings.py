@@ -212,6 +212,35 @@ def test_overlaps_equal_brute_force(examples, usable, block):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_every_pair_above_the_yardstick_is_verified():
+    # pairs barely above it, of drawings that differ in everything whitening would blow up
+    rng = np.random.default_rng(8)
+    form = shapes(rng, 1)[0]
+    train = np.array([drawing(rng, form) for _ in range(150)])
+    evals = np.clip(train + rng.normal(0, 30, train.shape) * (form > 0), 0, 255).round()
+    x = np.vstack([train, evals])
+    table_ = pa.table({
+        "is_train": [True] * 150 + [False] * 150, "row_id": np.arange(300), "down": pa.array([0] * 300, pa.int32()), "right": pa.array([0] * 300, pa.int32()),
+        "v": pa.array([v.astype(np.uint8).tobytes() for v in x], pa.binary()),
+    })
+    s = cosines(x)[150:, :150]
+    for same in (0.96, 0.92, float(np.sort(s, axis=None)[-75])):
+        got = O.compare(same)(table_)
+        assert set(zip(got["eval_id"].to_pylist(), got["train_id"].to_pylist())) == {(i + 150, j) for i, j in zip(*np.nonzero(s > same))}
+
+
+def test_cells_as_far_as_an_equal_can_be_are_visited(spark):
+    # a train drawing at 0.72 to its representative, its equal turned further away from that
+    rep = np.zeros(784)
+    rep[:392] = 1
+    away = np.zeros(784)
+    away[392:] = 1
+    turned = [np.round(120 * (np.cos(a) * rep + np.sin(a) * away)) for a in (np.arccos(0.72), np.arccos(0.72) + np.arccos(0.965))]
+    df = spark.createDataFrame([(1, "train", [float(v) for v in 100 * rep]), (2, "train", [float(v) for v in turned[0]]), (3, "test", [float(v) for v in turned[1]])], "row_id bigint, split string, x array<float>")
+    assert cosines(np.array([100 * rep, turned[1]]))[0, 1] < 0.62 and cosines(np.array(turned))[0, 1] > O.SAME
+    assert [(r.eval_id, r.train_id) for r in O.overlaps(df).collect()] == [(3, 2)]
+
+
 def test_overlap_report(examples):
     pairs = O.overlaps(examples)
     rows = O.overlap_report(pairs, examples).collect()
