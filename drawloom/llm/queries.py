@@ -59,7 +59,7 @@ def p4_found(spark, d):
 
 def p5_found(spark, d):
     """The cluster of every usable train drawing."""
-    return cluster_drawings(read_table(spark, d, "examples")).select("row_id", "cluster_row")
+    return cluster_drawings(read_table(spark, d, "examples"), vectors=False).select("row_id", "cluster_row")
 
 
 def p5_clusters(spark, d):

@@ -308,6 +308,23 @@ def test_cluster_descriptions(examples, usable):
     assert all(sum(r.cluster_row == c for r in rows) == min(3, n) for c, n in sizes.items())
 
 
+def test_typical_rows_are_typical_of_their_whole_cluster(spark):
+    rng = np.random.default_rng(10)
+    form = shapes(rng, 1)[0]
+    x = [drawing(rng, form) for _ in range(40)]
+    s = cosines(np.array(x))
+    x += [x[int(s.sum(axis=1).argmin())]] * 12  # copies of the least typical one have only each other as companions
+    ids = np.arange(1, len(x) + 1)
+    df = spark.createDataFrame([(int(i), "train", [float(p) for p in v]) for i, v in zip(ids, x)], "row_id bigint, split string, x array<float>")
+    u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    others = u.sum(axis=0) - u
+    typical = np.round((u * others).sum(axis=1) / np.linalg.norm(others, axis=1), 5)
+    for block in (9, 2048):
+        rows = sorted(K.describe_clusters(K.cluster_drawings(df, block=block)).collect(), key=lambda r: r.place)
+        assert [r.row_id for r in rows] == ids[np.lexsort((ids, -typical))][:3].tolist() and rows[0].size == len(x)
+        assert [r.typicality for r in rows] == pytest.approx(np.sort(typical)[::-1][:3], abs=1e-4)
+
+
 def test_merging_by_mean_of_edges():
     a, b = np.array([1, 2, 3, 4, 7]), np.array([2, 3, 4, 5, 8])
     total = np.array([0.9, 0.8, 0.95, 0.5, 0.72])
