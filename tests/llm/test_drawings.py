@@ -1,12 +1,14 @@
 """Problems 1, 2, 4 and 5 against brute force, with tiny blocks so that every cell is hot."""
 
+import dataclasses
+
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from drawloom.llm import collisions as C
 from drawloom.llm import drawings as D
+from drawloom.llm import fingerprints as P
 from drawloom.llm import linkage as K
 from drawloom.llm import neighbours as N
 from drawloom.llm import overlap as O
@@ -197,8 +199,7 @@ def test_empty_tables(spark, examples):
     assert V.varied_subsets(examples, requests.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block", [6, 4096])
-def test_overlaps_equal_brute_force(examples, usable, block):
+def same_pairs(usable):
     ids, x, train = usable
     n = np.sqrt((x * x).sum(axis=1))
     want = {}
@@ -207,30 +208,51 @@ def test_overlaps_equal_brute_force(examples, usable, block):
         for i, j in zip(*np.nonzero(s > O.SAME)):
             key = (int(ids[~train][i]), int(ids[train][j]))
             want[key] = max(want.get(key, 0), s[i, j])
+    return want
+
+
+@pytest.mark.parametrize("tasks_for", [40, O.RECORDS])
+def test_overlaps_equal_brute_force(examples, usable, tasks_for):
+    want = same_pairs(usable)
     assert len(want) >= 6
-    got = {(r.eval_id, r.train_id): r.cosine for r in O.overlaps(examples, block=block).collect()}
+    got = {(r.eval_id, r.train_id): r.cosine for r in O.overlaps(examples, tasks_for=tasks_for).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_every_pair_above_the_yardstick_is_verified():
-    # pairs barely above it, of drawings that differ in everything whitening would blow up
+def test_long_blocks_of_many_tables_meet_across_tasks(examples, usable):
+    # fingerprints as for a table of millions of rows: the first bits of a block are told apart by tasks
+    ids, x, train = usable
+    u = D.unit(x.astype(np.float32))
+    f = P.fit(u, 3_000_000, 20_000_000, O.SAME)
+    assert f.bits > 8 and len(f.blocks) > 1
+    f = dataclasses.replace(f, local_bits=5)
+    assert f.split_bits > 3
+    got = O.candidates(D.compact(examples), f, 10**9, tasks_for=20)
+    assert {(r.eval_id, r.train_id) for r in got.collect()} >= same_pairs(usable).keys()
+
+
+def test_drawings_disturbed_to_the_yardstick_meet():
+    # other noise than the join was fitted to; strangers of the same shape seldom come within the radius
     rng = np.random.default_rng(8)
-    form = shapes(rng, 1)[0]
-    train = np.array([drawing(rng, form) for _ in range(150)])
-    evals = np.clip(train + rng.normal(0, 30, train.shape) * (form > 0), 0, 255).round()
-    x = np.vstack([train, evals])
-    table_ = pa.table({
-        "is_train": [True] * 150 + [False] * 150, "row_id": np.arange(300), "down": pa.array([0] * 300, pa.int32()), "right": pa.array([0] * 300, pa.int32()),
-        "v": pa.array([v.astype(np.uint8).tobytes() for v in x], pa.binary()),
-    })
-    s = cosines(x)[150:, :150]
-    for same in (0.96, 0.92, float(np.sort(s, axis=None)[-75])):
-        got = O.compare(same)(table_)
-        assert set(zip(got["eval_id"].to_pylist(), got["train_id"].to_pylist())) == {(i + 150, j) for i, j in zip(*np.nonzero(s > same))}
-
-
-def test_cells_as_far_as_an_equal_can_be_are_visited(spark):
-    # a train drawing at 0.72 to its representative, its equal turned further away from that
+    forms = shapes(rng, 6)
+    u = D.unit(np.array([drawing(rng, forms[i % 6]) for i in range(3000)], np.float32))
+    f = P.fit(u[:2000], 1_000_000, 1_000_000, O.SAME)
+    fresh = u[2000:]
+    tried = 0
+    for a, b in P.disturbed(fresh, O.SAME, np.random.default_rng(5)):
+        za, zb = f.project(a), f.project(b.astype(np.float32))
+        near = np.bitwise_count(P.fingerprint(za) ^ P.fingerprint(zb)).sum(axis=1) <= f.radius
+        found = np.any([P.met(zb, za, block) for block in f.blocks], axis=0)
+        assert (near & found).mean() > 0.97
+        tried += len(a)
+    assert tried > 2500
+    codes = P.fingerprint(f.project(fresh))
+    apart = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+    assert (apart[np.triu_indices(len(codes), 1)] <= f.radius).mean() < 0.01
+
+
+def test_pairs_of_turned_vectors(spark):
+    # a train drawing far from the first, its equal turned further away from that
     rep = np.zeros(784)
     rep[:392] = 1
     away = np.zeros(784)
@@ -241,6 +263,22 @@ def test_cells_as_far_as_an_equal_can_be_are_visited(spark):
     assert [(r.eval_id, r.train_id) for r in O.overlaps(df).collect()] == [(3, 2)]
 
 
+def test_pairs_among_separate_drawings(spark):
+    # twenty pairs of cosine 0.966, all else far apart
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(20):
+        a = rng.integers(0, 256, 784) * (rng.random(784) < 0.3)
+        b = a + rng.normal(0, 1, 784) * np.linalg.norm(a) * 0.266 / 28
+        rows += [(2 * k, "train", [float(np.float32(v)) for v in a]), (2 * k + 1, "valid", [float(np.float32(v)) for v in b])]
+    x = np.array([r[2] for r in rows])
+    s = cosines(x)
+    want = {(2 * k + 1, 2 * k) for k in range(20) if s[2 * k, 2 * k + 1] > O.SAME}
+    assert len(want) == 20 and np.sort(s - np.eye(40), axis=None)[-41] < 0.9
+    df = spark.createDataFrame(rows, "row_id bigint, split string, x array<float>")
+    assert {(r.eval_id, r.train_id) for r in O.overlaps(df).collect()} == want
+
+
 def test_overlap_report(examples):
     pairs = O.overlaps(examples)
     rows = O.overlap_report(pairs, examples).collect()
