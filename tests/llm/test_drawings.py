@@ -227,7 +227,7 @@ def test_long_blocks_of_many_tables_meet_across_tasks(examples, usable):
     assert f.bits > 8 and len(f.blocks) > 1
     f = dataclasses.replace(f, local_bits=5)
     assert f.split_bits > 3
-    got = O.candidates(D.compact(examples), f, 10**9, tasks_for=20)
+    got = O.candidates(D.compact(examples), f, int(train.sum()), 9 * int((~train).sum()), tasks_for=20)
     assert {(r.eval_id, r.train_id) for r in got.collect()} >= same_pairs(usable).keys()
 
 
