@@ -219,16 +219,24 @@ def test_overlaps_equal_brute_force(examples, usable, tasks_for):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_long_blocks_of_many_tables_meet_across_tasks(examples, usable):
-    # fingerprints as for a table of millions of rows: the first bits of a block are told apart by tasks
+@pytest.mark.parametrize(("local", "tasks_for"), [(10, 10**6), (8, 50)])
+def test_all_that_meet_within_the_radius_are_found(examples, usable, local, tasks_for):
+    # also where the first bits of a block are told apart by tasks, and where tasks are dealt
     ids, x, train = usable
     u = D.unit(x.astype(np.float32))
     f = P.fit(u, 3_000_000, 20_000_000, O.SAME)
-    assert f.bits > 8 and len(f.blocks) > 1
-    f = dataclasses.replace(f, local_bits=5)
-    assert f.split_bits > 3
-    got = O.candidates(D.compact(examples), f, int(train.sum()), 9 * int((~train).sum()), tasks_for=20)
-    assert {(r.eval_id, r.train_id) for r in got.collect()} >= same_pairs(usable).keys()
+    f = dataclasses.replace(f, blocks=f.blocks[:4, :10], local_bits=local)
+    want = set()
+    e = (x[~train] / np.sqrt((x[~train] ** 2).sum(axis=1))[:, None]).astype(np.float32)
+    zt = f.project(u[train])
+    for move in D.DISPLACEMENTS:
+        ze = f.project(D.displaced(e, *move))
+        for i in range(len(ze)):
+            apart = np.bitwise_count(P.fingerprint(ze[i : i + 1]) ^ P.fingerprint(zt)).sum(axis=1)
+            both = np.any([P.met(np.repeat(ze[i : i + 1], len(zt), 0), zt, block) for block in f.blocks], axis=0)
+            want |= {(int(ids[~train][i]), int(ids[train][j])) for j in np.flatnonzero(both & (apart <= f.radius))}
+    got = O.candidates(D.compact(examples), f, int(train.sum()), 9 * int((~train).sum()), tasks_for=tasks_for)
+    assert len(want) > 20 and {(r.eval_id, r.train_id) for r in got.collect()} == want
 
 
 def test_drawings_disturbed_to_the_yardstick_meet():
