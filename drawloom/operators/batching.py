@@ -20,20 +20,20 @@ def shuffle_key(row_id: Column, epoch: int | Column = 0) -> Column:
     return F.pmod(row_id.cast("bigint") * KEY_ROW + epoch.cast("bigint") * KEY_EPOCH, F.lit(KEY_PRIME))
 
 
-def ranked(df: DataFrame, key: Column, tie: str, upper: int, name: str = "rn", buckets: int = 1024) -> DataFrame:
-    """df with its 1-based position in the order of (key, tie); key lies in 0..upper-1.
+def ranked(df: DataFrame, key: Column, tie: str, upper: int, name: str = "rn", buckets: int = 1024, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with its 1-based position in the order of (key, tie), among rows of equal `within`; key lies in 0..upper-1.
 
     Rows are cut into key ranges; each range is numbered by its own task and
-    shifted by the rows before it (at most `buckets` counts, which is what is
-    broadcast). Rows with a null tie are dropped.
+    shifted by the rows before it (at most `buckets` counts for each value of
+    `within`, which is what is broadcast). Rows with a null tie are dropped.
     """
     k, b, shift = "__drawloom_key", "__drawloom_bucket", "__drawloom_shift"
     keyed = df.where(F.col(tie).isNotNull()).withColumn(k, key).withColumn(b, F.floor(F.col(k) * buckets / upper).cast("int"))
-    counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
-    inside = Window.partitionBy(b).orderBy(k, tie)
-    return keyed.join(F.broadcast(offsets), b).withColumn(name, F.row_number().over(inside) + F.col(shift)).drop(k, b, shift)
+    counts = keyed.groupBy(*within, b).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*within).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*within, b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
+    inside = Window.partitionBy(*within, b).orderBy(k, tie)
+    return keyed.join(F.broadcast(offsets), [*within, b]).withColumn(name, F.row_number().over(inside) + F.col(shift)).drop(k, b, shift)
 
 
 def make_batches(rows: DataFrame, batch_size: int = 32, epoch: int = 0, reshuffle: bool = True) -> DataFrame:
@@ -43,21 +43,26 @@ def make_batches(rows: DataFrame, batch_size: int = 32, epoch: int = 0, reshuffl
     With reshuffle=False every epoch has the order of epoch 0. A table smaller
     than its pads repeats the order as often as needed.
     """
+    return _batches(rows, [epoch], batch_size, reshuffle)
+
+
+def _batches(rows: DataFrame, epochs: list[int], batch_size: int, reshuffle: bool) -> DataFrame:
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    ids = rows.select(F.col("row_id").cast("bigint").alias("row_id")).distinct()
-    key = shuffle_key(F.col("row_id"), epoch if reshuffle else 0)
-    order = ranked(ids, key, "row_id", KEY_PRIME)
+    ids = rows.select(F.col("row_id").cast("bigint").alias("row_id")).where(F.col("row_id").isNotNull()).distinct()
+    each = ids.select(F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"), "row_id")
+    key = shuffle_key(F.col("row_id"), F.col("epoch") if reshuffle else 0)
+    order = ranked(each, key, "row_id", KEY_PRIME, within=("epoch",))
     n = ids.agg(F.count("row_id").alias("n"))
     pads = F.pmod(-F.col("n"), F.lit(batch_size))
-    real = order.select("row_id", (F.col("rn") - 1).alias("at"), F.lit(False).alias("is_pad"))
+    real = order.select("epoch", "row_id", (F.col("rn") - 1).alias("at"), F.lit(False).alias("is_pad"))
     turns = F.explode(F.sequence(F.lit(0), F.floor((pads - F.col("rn")) / F.col("n")).cast("int"))).alias("turn")
     heads = order.where(F.col("rn") < batch_size).join(F.broadcast(n)).where(F.col("rn") <= pads)
-    filled = heads.select("row_id", "rn", "n", turns).select(
-        "row_id", (F.col("n") + F.col("rn") - 1 + F.col("turn") * F.col("n")).alias("at"), F.lit(True).alias("is_pad")
+    filled = heads.select("epoch", "row_id", "rn", "n", turns).select(
+        "epoch", "row_id", (F.col("n") + F.col("rn") - 1 + F.col("turn") * F.col("n")).alias("at"), F.lit(True).alias("is_pad")
     )
     return real.unionByName(filled).select(
-        F.lit(epoch).alias("epoch"),
+        "epoch",
         F.floor(F.col("at") / batch_size).cast("int").alias("batch_id"),
         (F.col("at") % batch_size).cast("int").alias("pos"),
         "row_id",
@@ -65,6 +70,11 @@ def make_batches(rows: DataFrame, batch_size: int = 32, epoch: int = 0, reshuffl
     )
 
 
+def epochs_of(rows: DataFrame, epochs: int, batch_size: int = 32, reshuffle: bool = True) -> DataFrame:
+    """make_batches of epochs 0..epochs-1 below each other, put in order beside each other; only ids are moved."""
+    return _batches(rows, list(range(epochs)), batch_size, reshuffle)
+
+
 def limit_batches(batches: DataFrame, limit: int) -> DataFrame:
     """The first `limit` batches of each epoch; 0 means all."""
     return batches if limit == 0 else batches.where(F.col("batch_id") < limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.functions.arrays import argmax, title, to_grid
+from drawloom.functions.arrays import fixed, title, to_grid
 from drawloom.operators.batching import head_rows, shuffle_key
 from drawloom.operators.metrics import composite, scored
 from drawloom.operators.network import Weights, forward
@@ -41,5 +41,25 @@ def plot_examples(predictions: DataFrame, count: int = 8, height: int = 28, widt
     return out.withColumn("grid", to_grid(F.col("x"), height, width)) if "x" in s.columns else out
 
 
-def predicted_class(rows: DataFrame, weights: Weights) -> DataFrame:
-    return forward(rows, weights).withColumn("predicted", argmax(F.col("output")))
+def epoch_lines(history: DataFrame, verbose: int = 1, samples: str | None = None) -> DataFrame:
+    """(run_id, epoch, line_no, line): what training prints of an epoch.
+
+    verbose 1 is the loss, the seconds and the batches; 2 adds accuracies of
+    train and test rows; 3 also the batch losses in the array column named by
+    `samples`. Other values raise an error. Lines with a null number are null.
+    """
+    if verbose not in (1, 2, 3):
+        raise ValueError("verbose must be 1, 2 or 3")
+    lines = [
+        F.concat(
+            F.lit("Epoch "), F.col("epoch").cast("string"), F.lit(" Loss: "), fixed(F.col("avg_loss"), 5), F.lit(" Time: "), fixed(F.col("seconds"), 1, "s"),
+            F.lit(" Num batches: "), F.col("num_batches").cast("string"),
+        )
+    ]
+    if verbose == 3 and samples:
+        lines.append(F.concat(F.lit("Sample batch losses: ["), F.concat_ws(", ", F.transform(samples, lambda v: fixed(v, 5))), F.lit("]")))
+    if verbose > 1:
+        for name in ("Train", "Test"):
+            acc, top = f"{name.lower()}_acc", f"{name.lower()}_top3"
+            lines.append(F.concat(F.lit(f"{name}_acc "), fixed(F.col(acc), 5), F.lit(f", {name}_top_3_accuracy "), fixed(F.col(top), 5)))
+    return history.select("run_id", "epoch", F.posexplode(F.array(*lines)).alias("line_no", "line"))

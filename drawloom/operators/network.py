@@ -144,7 +144,7 @@ def forward(df: DataFrame, weights: Weights, x: str = "x", output: str = "output
 
     `keep` names the columns that come along (all but x by default); only they and x are read.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in (x, output)]
+    keep = [c for c in ([c for c in df.columns if c != x] if keep is None else keep) if c != output]
     narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{x}`").alias("__drawloom_x"))
     schema = narrow.drop("__drawloom_x").schema.add(output, T.ArrayType(T.DoubleType()))
     shared = df.sparkSession.sparkContext.broadcast(weights)

@@ -76,6 +76,32 @@ BL = f"""WITH {EX}, {RUN0}, {LAB}, {FWD}, {PL}, l AS (SELECT row_id, {CE} AS los
 bl AS (SELECT epoch, batch_id, count(*) AS n_rows, avg(loss) AS loss FROM b JOIN l USING (row_id) GROUP BY epoch, batch_id)"""
 
 
+#: Two epochs of batches, and exact descent of a linear layer on the ink of 28 lines: one recursion a batch, a row a unit.
+LINEAR = f"""WITH RECURSIVE {EX}, {LAB}, f AS MATERIALIZED (SELECT row_id, label, list_transform(range(28), lambda r: list_sum(x[r * 28 + 1 : r * 28 + 28]) / 7140.0::DOUBLE) AS f FROM t),
+r AS (SELECT ep, row_id, row_number() OVER (PARTITION BY ep ORDER BY {KEY.format(epoch='ep')}, row_id) - 1 AS ord FROM (SELECT DISTINCT row_id FROM e WHERE {TRAIN}), range(2) q(ep)),
+c AS (SELECT count(*) AS n FROM r WHERE ep = 0),
+m AS (SELECT ep, ord, row_id FROM r UNION ALL SELECT ep, n + ord, row_id FROM r, c WHERE ord < (32 - n % 32) % 32),
+g AS (SELECT ep, ord // 32 AS batch_id, list(f ORDER BY ord) AS fs, list(label ORDER BY ord) AS ls, count(*) AS n FROM m JOIN f USING (row_id) GROUP BY ALL),
+s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ep, batch_id) AS step FROM g),
+w AS (SELECT 0::BIGINT AS step, u, list_transform(range(28), lambda i: ((u * 31 + i * 17) % 11 - 5)::DOUBLE / 100.0::DOUBLE) AS w, 0.0::DOUBLE AS b, 0.0::DOUBLE AS sq FROM range(10) a(u)
+  UNION ALL SELECT step, u, list_transform(range(28), lambda i: w[i + 1] - 0.05::DOUBLE / n * list_sum(list_transform(range(n), lambda k: errs[k + 1] * fs[k + 1][i + 1]))),
+    b - 0.05::DOUBLE / n * list_sum(errs), list_sum(list_transform(errs, lambda v: v * v)) FROM (
+    SELECT s.step, u, w, b, fs, n, list_transform(range(n), lambda k: list_inner_product(w, fs[k + 1]) + b - CASE WHEN ls[k + 1] = u THEN 1 ELSE 0 END) AS errs FROM w JOIN s ON s.step = w.step + 1)),
+bl AS (SELECT ep, batch_id, any_value(n) AS n, 0.05::DOUBLE * sum(sq) / any_value(n) AS loss FROM w JOIN s USING (step) GROUP BY ep, batch_id)"""
+XAVIER = [(name, k, units, width) for name, sizes in (("E1", [128, 10]), ("E2", [128, 10]), ("E3", [128, 10]), ("E4", [128, 10]), ("E5", [512, 256, 128, 64, 10]), ("E6", [512, 256, 128, 64, 10]), ("E7", [512, 256, 128, 64, 10]))
+          for k, (units, width) in enumerate(zip(sizes, ["(SELECT max(len(x)) FROM examples)", *map(str, sizes)]))]
+HISTORY = "h AS (SELECT run_id, epoch, max(avg_loss) AS l, max(seconds) AS s, max(num_batches) AS n, max(train_acc) AS ra, max(train_top3) AS rt, max(test_acc) AS ta, max(test_top3) AS tt FROM history GROUP BY ALL)"
+#: The portable generator's value in [0, 1) for a draw.
+UNIFORM = "((((draw + 1) * 48271 + {seed} * 104729) % 2147483647 * 48271 % 2147483647) + ((((draw + 1) * 48271 + {seed} * 104729) % 2147483647 * 48271 % 2147483647) * 48271 + 12345) % 2147483647 / 2147483647.0::DOUBLE) / 2147483647.0::DOUBLE"
+
+
+def fixed(c: str, digits: int) -> str:
+    return f"CASE WHEN isnan({c}) THEN 'NaN' ELSE printf('%.{digits}f', {c}) END"
+
+
+EPOCH_LINE = f"'Epoch ' || epoch || ' Loss: ' || {fixed('l', 5)} || ' Time: ' || {fixed('s', 1)} || 's Num batches: ' || n"
+
+
 def grad(delta: str, both: bool) -> str:
     return GRAD.format(delta=delta, both="UNION ALL SELECT * FROM g0" if both else "")
 
@@ -122,7 +148,27 @@ ORACLE = {
     "q_correct": f"WITH {PR}, {SC} SELECT row_id, label, predicted FROM s WHERE predicted = label",
     "q_incorrect": f"WITH {PR}, {SC} SELECT row_id, label, predicted FROM s WHERE predicted <> label",
     "q_accuracy_pct": f"WITH {PR}, {SC}, r AS (SELECT *, row_number() OVER (ORDER BY {KEY.format(epoch=0)}, row_id) AS rn FROM s) SELECT count(label) AS n_rows, count_if(predicted = label)::BIGINT AS n_correct, round(100.0::DOUBLE * count_if(predicted = label) / count(label), 6) AS pct FROM r WHERE rn <= 1000",
-    "q_history_lines": "SELECT run_id, epoch, 'Loss: ' || CASE WHEN isnan(max(avg_loss)) THEN 'NaN' ELSE printf('%.3f', max(avg_loss)) END || ' Time: ' || printf('%.1f', max(seconds)) || 's' AS line FROM history GROUP BY run_id, epoch",
+    "q_history_lines": f"WITH {HISTORY} SELECT run_id, epoch, {EPOCH_LINE} AS line FROM h",
+    "q_history_report": f"WITH {HISTORY} SELECT run_id, epoch, 0 AS line_no, {EPOCH_LINE} AS line FROM h"
+    f" UNION ALL SELECT run_id, epoch, 1, 'Train_acc ' || {fixed('ra', 5)} || ', Train_top_3_accuracy ' || {fixed('rt', 5)} FROM h"
+    f" UNION ALL SELECT run_id, epoch, 2, 'Test_acc ' || {fixed('ta', 5)} || ', Test_top_3_accuracy ' || {fixed('tt', 5)} FROM h",
+    "q_sample_with_replacement": f"WITH {EX}, r AS (SELECT row_id, row_number() OVER (ORDER BY {KEY.format(epoch=7)}, row_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT row_id FROM e)), "
+    f"d AS (SELECT draw::INT AS draw, {UNIFORM.format(seed=7)} AS u FROM range(8) a(draw)) SELECT draw, row_id FROM d JOIN r ON r.rn = least(floor(u * n)::BIGINT, n - 1) + 1",
+    "q_sample_losses": "WITH k AS (SELECT DISTINCT run_id || '#' || epoch AS k, run_id, epoch, avg_loss FROM history WHERE avg_loss IS NOT NULL AND NOT isnan(avg_loss)) SELECT run_id, epoch, avg_loss FROM k ORDER BY md5('3#' || k), k LIMIT 10",
+    "q_loss_dispatch": f"WITH {PR}, c AS (SELECT row_id, y, output AS o, CASE WHEN {complete('output', 10)} THEN {class_id('y')} END AS label FROM p) SELECT row_id, 'softmax_ce' AS kind, round(CASE WHEN label IS NOT NULL THEN {CE} END, 6) AS loss FROM c"
+    f" UNION ALL SELECT row_id, 'l2', round(CASE WHEN {complete('o', 10)} AND {complete('y', 10)} THEN 0.5::DOUBLE * list_sum(list_transform(list_zip(o, y::DOUBLE[]), lambda q: pow(q[1] - q[2], 2))) / 10 END, 6) FROM c",
+    "q_label_vectors": f"WITH {PR} SELECT row_id, 1 AS width, {class_id('y')} AS label FROM p",
+    "q_initial_params": " UNION ALL ".join(f"SELECT '{n}' AS run_id, {k} AS layer, {u}::BIGINT AS units, {w}::INT AS width, true AS within, true AS spread, 0.0::DOUBLE AS bias" for n, k, u, w in XAVIER),
+    "q_evaluate_padded": f"WITH {EX}, {RUN0}, {ordered(TRAIN.replace('train', 'test'), 0)}, t AS (SELECT row_id, x::DOUBLE[] AS x FROM e WHERE {USABLE}), {FWD}, p AS (SELECT e.row_id, e.y, o.o AS output FROM e LEFT JOIN o USING (row_id)), {SC} "
+    "SELECT count(label) AS n_rows, count_if(label IS NULL)::BIGINT AS n_skipped, round(avg((predicted = label)::INT), 6) AS acc, round(avg(in_top::INT), 6) AS top3 FROM m JOIN s USING (row_id)",
+    "q_train_linear": LINEAR + " SELECT ep::INT AS epoch, batch_id::INT AS batch_id, n::INT AS n, round(loss, 6) AS loss FROM bl",
+    "q_train_linear_history": LINEAR + f""", last AS (SELECT ep, max(step) AS step FROM s GROUP BY ep), v AS (SELECT last.ep, list(w ORDER BY u) AS ws, list(b ORDER BY u) AS bs FROM last JOIN w USING (step) GROUP BY last.ep),
+      a AS (SELECT row_id, lower(trim(split)) AS split, {class_id('y')} AS label, list_transform(range(28), lambda r: list_sum(x[r * 28 + 1 : r * 28 + 28]::DOUBLE[]) / 7140.0::DOUBLE) AS f FROM e WHERE {USABLE}),
+      z AS (SELECT ep, split, label, list_transform(range(10), lambda u: list_inner_product(ws[u + 1], f) + bs[u + 1]) AS z FROM a, v WHERE label IS NOT NULL AND split IN ('test', 'train')),
+      k AS (SELECT ep, split, len(list_filter(range(10), lambda i: z[i + 1] > z[label + 1] OR (z[i + 1] = z[label + 1] AND i < label))) AS before FROM z),
+      q AS (SELECT ep, split, avg((before < 1)::INT) AS acc, avg((before < 3)::INT) AS top3 FROM k GROUP BY ALL)
+      SELECT h.ep::INT AS epoch, h.n::INT AS num_batches, round(h.l, 6) AS avg_loss, round(r.acc, 6) AS train_acc, round(r.top3, 6) AS train_top3, round(t.acc, 6) AS test_acc, round(t.top3, 6) AS test_top3
+      FROM (SELECT ep, count(*) AS n, avg(loss) AS l FROM bl GROUP BY ep) h JOIN q r ON r.ep = h.ep AND r.split = 'train' JOIN q t ON t.ep = h.ep AND t.split = 'test'""",
     "q_epoch_times": "SELECT run_id, round(sum(s), 5) AS seconds, count(*) AS epochs, max(n) AS num_batches FROM (SELECT run_id, epoch, max(seconds) AS s, max(num_batches) AS n FROM history GROUP BY ALL) GROUP BY run_id",
     "q_grad_l2": grad(DELTA_L2, False) + " SELECT layer, unit, i, n, round(db, 4) AS db, round(dw, 4) AS dw FROM g",
     "q_grad_ce": grad(DELTA_CE, True) + " SELECT layer, unit, i, n, round(db, 4) AS db, round(dw, 4) AS dw FROM g",

@@ -186,14 +186,13 @@ def q_dense_sigmoid(spark, d):
 
 
 def q_forward2(spark, d):
-    out = None
-    for which in ("min", "max"):
-        run_id, nets = _run(spark, d, which)
-        o = N.forward(_examples(spark, d, "x"), nets).select(
-            F.lit(run_id).alias("run_id"), "row_id", A.argmax(F.col("output")).alias("predicted"), F.round(F.array_max("output"), 6).alias("top")
-        )
-        out = o if out is None else out.unionByName(o)
-    return out
+    """Both runs' networks over one pass of the drawings."""
+    (first, one), (second, two) = _run(spark, d, "min"), _run(spark, d, "max")
+    both = N.forward(_examples(spark, d, "x"), one, output="one", keep=["row_id", "x"])
+    both = N.forward(both, two, output="two", keep=["row_id", "one"])
+    each = F.explode(F.array(F.struct(F.lit(first).alias("run_id"), F.col("one").alias("o")), F.struct(F.lit(second).alias("run_id"), F.col("two").alias("o")))).alias("e")
+    out = both.select("row_id", each)
+    return out.select("e.run_id", "row_id", A.argmax(F.col("e.o")).alias("predicted"), F.round(F.array_max("e.o"), 6).alias("top"))
 
 
 def q_forward_columns(spark, d):
@@ -235,6 +234,34 @@ def q_epoch_loss(spark, d):
     return _batch_losses(spark, d).groupBy("epoch").agg(F.round(F.avg("loss"), 6).alias("avg_loss"), F.count(F.lit(1)).alias("num_batches"))
 
 
+def q_loss_dispatch(spark, d):
+    """Each loss by its name: the vector for one, the class id for the other."""
+    p = _predictions(spark, d).withColumn("label", A.class_id(F.col("y"), CLASSES))
+    out = [p.select("row_id", F.lit(kind.value).alias("kind"), F.round(L.loss_column(kind, F.col("output"), F.col("y"), F.col("label")), 6).alias("loss")) for kind in L.Loss]
+    return B.stack(*out)
+
+
+def q_label_vectors(spark, d):
+    """Class ids as vectors of one element."""
+    p = _predictions(spark, d).select("row_id", A.as_vector(A.class_id(F.col("y"), CLASSES)).alias("label"))
+    return p.select("row_id", F.size("label").alias("width"), A.element(F.col("label"), 0).alias("label"))
+
+
+def q_initial_params(spark, d):
+    """Shapes and bounds of the initial weights of every recorded configuration, widths following from the data."""
+    width = read_table(spark, d, "examples").agg(F.max(F.size("x"))).first()[0]
+    frames = [N.params_frame(spark, N.xavier(layers, width, seed=k), name, 0) for k, (name, (layers, *_)) in enumerate(N.EXPERIMENTS.items())]
+    each = F.explode("w").alias("v")
+    facts = B.stack(*frames).select("run_id", "layer", "unit", "b", F.size("w").alias("width"), each)
+    return facts.groupBy("run_id", "layer").agg(
+        F.countDistinct("unit").alias("units"),
+        F.max("width").alias("width"),
+        (F.max(F.abs("v")) <= F.sqrt(F.lit(2.24) / ((F.max("width") + F.countDistinct("unit")) / 2))).alias("within"),
+        (F.max(F.abs("v")) > 0.9 * F.sqrt(F.lit(2.24) / ((F.max("width") + F.countDistinct("unit")) / 2))).alias("spread"),
+        F.max(F.abs("b")).alias("bias"),
+    )
+
+
 # metrics
 
 
@@ -265,6 +292,15 @@ def q_evaluate(spark, d):
     return M.composite(s, "split").select("split", "n_rows", "n_skipped", F.round("acc", 6).alias("acc"), F.round("top3", 6).alias("top3"))
 
 
+def q_evaluate_padded(spark, d):
+    """Accuracy over the test batches with their pads counted, as an iterator hands them out."""
+    _, nets = _run(spark, d)
+    rows = _examples(spark, d, "split", "x", "y").where(split_name() == "test")
+    padded = B.make_batches(rows.select("row_id"), 32, epoch=0).join(rows.select("row_id", "x", "y"), "row_id")
+    m = E.evaluate_accuracy(padded.select("x", "y"), nets)
+    return m.select("n_rows", "n_skipped", F.round("acc", 6).alias("acc"), F.round("top3", 6).alias("top3"))
+
+
 def q_cumulative_metric(spark, d):
     """Running blends over the epochs of every run of history, test before train, as 1000 rows an evaluation."""
     h = read_table(spark, d, "history").groupBy("run_id", "epoch").agg(*[F.max(c).alias(c) for c in ("train_acc", "train_top3", "test_acc", "test_top3")])
@@ -305,9 +341,20 @@ def q_accuracy_pct(spark, d):
     return E.accuracy_percent(order.where(~F.col("is_pad")).join(p, "row_id"), n_rows=1000).select("n_rows", "n_correct", F.round("pct", 6).alias("pct"))
 
 
+def _history(spark, d):
+    """One row a run and epoch: repeated deliveries are equal but for nulls."""
+    names = ("avg_loss", "seconds", "num_batches", "train_acc", "train_top3", "test_acc", "test_top3")
+    return read_table(spark, d, "history").groupBy("run_id", "epoch").agg(*[F.max(c).alias(c) for c in names])
+
+
 def q_history_lines(spark, d):
-    h = read_table(spark, d, "history").groupBy("run_id", "epoch").agg(F.max("avg_loss").alias("avg_loss"), F.max("seconds").alias("seconds"))
-    return h.select("run_id", "epoch", F.concat(F.lit("Loss: "), A.fixed(F.col("avg_loss"), 3), F.lit(" Time: "), A.fixed(F.col("seconds"), 1, "s")).alias("line"))
+    """The line printed of every epoch."""
+    return E.epoch_lines(_history(spark, d)).select("run_id", "epoch", "line")
+
+
+def q_history_report(spark, d):
+    """What is printed of every epoch, accuracies too."""
+    return E.epoch_lines(_history(spark, d), verbose=2)
 
 
 def q_epoch_times(spark, d):
@@ -352,17 +399,45 @@ def q_train_steps(spark, d):
 
 
 def q_train_experiments(spark, d):
-    """The seven recorded configurations, each over its own number of batches (E7: all) from seeded initial weights, beside each other.
-
-    The epochs are those of the batches table, not the configured number.
-    """
-    rows = _places(spark, d).join(_labelled(_train(spark, d, "x", "y")), "row_id").select("epoch", "batch_id", "pos", "x", "y")
+    """The seven recorded configurations from seeded initial weights, each over its own number of batches an epoch (E7: all) and its own epochs."""
+    most = max(epochs for *_, epochs in N.EXPERIMENTS.values())
+    train = _labelled(_train(spark, d, "x", "y")).select("row_id", "x", "y")
+    rows = B.epochs_of(_train(spark, d), most).join(train, "row_id").select("epoch", "batch_id", "pos", "x", "y")
     runs = {name: (N.xavier(layers, WIDTH, seed=k), L.Loss(loss), lr) for k, (name, (layers, loss, lr, _, _)) in enumerate(N.EXPERIMENTS.items())}
     limits = {name: limit for name, (_, _, _, limit, _) in N.EXPERIMENTS.items()}
-    losses = T.epoch_losses(T.train_minibatch(rows, runs, batch_limit=limits))
+    epochs = {name: n for name, (_, _, _, _, n) in N.EXPERIMENTS.items()}
+    losses = T.epoch_losses(T.train_minibatch(rows, runs, limits, epochs, weights=False))
     return losses.select("run_id", "epoch", "num_batches", F.round("avg_loss", 6).alias("avg_loss"))
 
 
+def _linear(spark, d):
+    """Drawings as the ink of their 28 lines, two epochs of batches, and a linear layer with weights from an integer formula."""
+    import numpy as np
+
+    ink = F.transform(A.to_grid(F.col("x"), 28, 28), lambda line: A.total(line) / F.lit(7140.0))
+    drawn = _labelled(_examples(spark, d, "split", "x", "y")).where(A.is_complete(F.col("x"), WIDTH))
+    rows = drawn.select("row_id", split_name().alias("split"), ink.alias("x"), "y")
+    batches = B.epochs_of(_train(spark, d), 2).join(rows.where("split = 'train'"), "row_id")
+    u, i = np.arange(10)[:, None], np.arange(28)[None, :]
+    runs = {"linear": ([(((u * 31 + i * 17) % 11 - 5) / 100.0, np.zeros(10), None)], L.Loss.L2, 0.5)}
+    return rows, batches, runs
+
+
+def q_train_linear(spark, d):
+    """Exact mini-batch descent of a linear layer under the squared loss, batch by batch over two epochs."""
+    _, batches, runs = _linear(spark, d)
+    steps = T.train_minibatch(batches.select("epoch", "batch_id", "pos", "x", "y"), runs).where(~F.col("last"))
+    return steps.select("epoch", "batch_id", "n", F.round("loss", 6).alias("loss"))
+
+
+def q_train_linear_history(spark, d):
+    """The history of that training: losses, and accuracies on test and train rows after each epoch."""
+    rows, batches, runs = _linear(spark, d)
+    evals = {name: rows.where(F.col("split") == name) for name in ("test", "train")}
+    history = T.train_model(spark, batches.select("epoch", "batch_id", "pos", "x", "y"), evals, runs)
+    return history.select("epoch", "num_batches", *[F.round(c, 6).alias(c) for c in ("avg_loss", "train_acc", "train_top3", "test_acc", "test_top3")])
+
+
 def q_train_history(spark, d):
     """Train, then evaluate, with the metric that is never reset; x is scaled to 0..1 here."""
     e = _labelled(_examples(spark, d, "split", "x", "y")).withColumn("x", F.transform("x", lambda v: v / F.lit(255.0)))

@@ -133,16 +133,42 @@ def test_minibatch_descent_equals_a_plain_loop(spark):
         assert np.allclose([r.w for r in sorted(last, key=lambda r: r.unit)], net[0][0])
 
 
-def test_every_experiment_has_its_own_number_of_batches(spark, tmp_path):
+def test_every_run_has_its_own_batches_and_epochs(spark):
+    df = points(spark, 40)
+    rows = df.selectExpr("explode(array(0, 1, 2)) epoch", "cast(row_id div 4 as int) batch_id", "cast(row_id % 4 as int) pos", "x", "y")
+    runs = {f"r{k}": (N.xavier([N.Dense(2 + k), N.Dense(2)], 3, seed=k), Loss.L2, 0.1) for k in range(5)}
+    limits, epochs = {f"r{k}": (0, 3, 4, 3, 0)[k] for k in range(5)}, {"r1": 1, "r4": 2}
+    whole = T.train_minibatch(rows, runs, limits, epochs, lanes=3)
+    got = {(r.run_id, r.epoch): r.num_batches for r in T.epoch_losses(whole).collect()}
+    assert got == {(f"r{k}", e): limits[f"r{k}"] or 10 for k in range(5) for e in range(epochs.get(f"r{k}", 3))}
+    alone = {(r.run_id, r.epoch, r.batch_id): r.loss for k in range(5) for r in T.train_minibatch(rows, {f"r{k}": runs[f"r{k}"]}, limits, epochs).where("not last").collect()}
+    assert {(r.run_id, r.epoch, r.batch_id): r.loss for r in whole.where("not last").collect()} == alone
+    assert all(r.seconds > 0 for r in whole.where("last").select("seconds").distinct().collect())
+
+
+def test_experiments_have_their_recorded_epochs(spark, tmp_path):
     from drawloom.plans.queries import QUERIES
 
     x = np.random.default_rng(9).random((4, 784))
     examples = [(i, "train", [float(v) for v in x[i]], [float(j == i) for j in range(10)], 1) for i in range(4)]
     spark.createDataFrame(examples, "row_id bigint, split string, x array<float>, y array<float>, loaded_at int").write.parquet(f"{tmp_path}/examples.parquet")
-    batches = [(0, b, p, 2 * (b % 2) + p, False) for b in (*range(3), 624, 625, 900) for p in range(2)]
-    spark.createDataFrame(batches, "epoch int, batch_id int, pos int, row_id bigint, is_pad boolean").write.parquet(f"{tmp_path}/batches.parquet")
-    got = {r.run_id: r.num_batches for r in QUERIES["q_train_experiments"](spark, str(tmp_path)).collect()}
-    assert got == {f"E{k}": 6 if k == 7 else 4 for k in range(1, 8)}
+    got = {}
+    for r in QUERIES["q_train_experiments"](spark, str(tmp_path)).collect():
+        got[r.run_id] = got.get(r.run_id, 0) + r.num_batches
+    assert got == {f"E{k}": 5 if k == 3 else 10 for k in range(1, 8)}
+
+
+def test_epoch_lines(spark):
+    rows = [("r", 0, 0.04, 1.26, 3, 0.5, 0.75, 0.25, 1.0, [0.5, 0.25]), ("r", 1, None, 1.0, 3, 0.5, None, 0.25, 1.0, [])]
+    h = spark.createDataFrame(rows, "run_id string, epoch int, avg_loss double, seconds double, num_batches int, train_acc double, train_top3 double, test_acc double, test_top3 double, some array<double>")
+    got = [r.line for r in E.epoch_lines(h, 3, "some").where("epoch = 0").orderBy("line_no").collect()]
+    assert got == [
+        "Epoch 0 Loss: 0.04000 Time: 1.3s Num batches: 3", "Sample batch losses: [0.50000, 0.25000]",
+        "Train_acc 0.50000, Train_top_3_accuracy 0.75000", "Test_acc 0.25000, Test_top_3_accuracy 1.00000",
+    ]
+    assert [r.line for r in E.epoch_lines(h).where("epoch = 1").collect()] == [None]
+    with pytest.raises(ValueError):
+        E.epoch_lines(h, 4)
 
 
 def test_training_learns_and_repeats(spark):
