@@ -11,28 +11,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH = 784
 SIDE = 28
 
 
-def compact(examples: DataFrame) -> DataFrame:
-    """(row_id, is_train, v) of the usable drawings; other columns are never read.
+def compact(examples: DataFrame, *others: str) -> DataFrame:
+    """(row_id, is_train, v) of the usable drawings, and the columns named in `others`; no more are read.
 
     Later deliveries of a row_id repeat its x and split, so all of them come
     through here; readers drop repeats of a row_id where they meet. Rows with a
     null row_id are dropped; a null split is not train.
     """
     train = F.coalesce(F.lower(F.trim(F.col("split"))) == "train", F.lit(False))
-    narrow = examples.where("row_id is not null and x is not null").select("row_id", train.alias("is_train"), "x")
+    narrow = examples.where("row_id is not null and x is not null").select("row_id", train.alias("is_train"), "x", *others)
 
     def run(batches):
         for batch in batches:
             ok, packed = pack(batch.column(2))
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), packed], names=["row_id", "is_train", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), packed, *[c.filter(keep) for c in batch.columns[3:]]], names=["row_id", "is_train", "v", *others])
 
-    return narrow.mapInArrow(run, "row_id bigint, is_train boolean, v binary")
+    schema = T.StructType.fromDDL("row_id bigint, is_train boolean, v binary")
+    return narrow.mapInArrow(run, T.StructType([*schema, *[narrow.schema[c] for c in others]]))
 
 
 def pack(column: pa.Array) -> tuple[np.ndarray, pa.Array]:

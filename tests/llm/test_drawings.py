@@ -398,21 +398,24 @@ def test_farthest_first():
 def test_varied_subsets(spark, examples, usable, monkeypatch):
     ids, x, train = usable
     requests = spark.createDataFrame([("small", 9), ("large", 60), ("all", 10_000)], "request_id string, subset_rows bigint")
-    for pool in (V.POOL, 20):  # 20: the pool is cut into regions
-        monkeypatch.setattr(V, "POOL", pool)
-        monkeypatch.setattr(V, "REGION", pool)
+    for gather in (V.GATHER, 7):  # 7: many rounds, each with few rows of the pool
+        monkeypatch.setattr(V, "GATHER", gather)
         monkeypatch.setattr(V, "CHUNK", 40)
-        rows = V.varied_subsets(examples, requests).collect()
+        monkeypatch.setattr(V, "LEAST", 20)
+        rows = V.varied_subsets(examples, requests if gather > 7 else requests.where("request_id <> 'all'")).collect()
         got = {r: [q.row_id for q in rows if q.request_id == r] for r in ("small", "large", "all")}
         assert len(set(got["small"])) == 9 and len(set(got["large"])) == 60 and len(got["large"]) == 60
-        assert sorted(got["all"]) == ids[train].tolist()
-        assert set(got["small"]) <= set(ids[train].tolist())
+        assert set(got["small"]) <= set(got["large"]) <= set(ids[train].tolist())
         clusters = components(ids[train], x[train])
-        if pool > 20:  # every shape is shown, and the one with a third of the rows takes no third
-            hot = max(set(clusters.values()), key=list(clusters.values()).count)
-            assert {clusters[i] for i in got["large"]} == set(clusters.values())
-            share = sum(c == hot for c in clusters.values()) / len(clusters)
-            assert sum(clusters[i] == hot for i in got["large"]) / 60 < share
+        # every shape is shown, and the one with a third of the rows takes no third
+        hot = max(set(clusters.values()), key=list(clusters.values()).count)
+        assert {clusters[i] for i in got["large"]} == set(clusters.values())
+        share = sum(c == hot for c in clusters.values()) / len(clusters)
+        assert sum(clusters[i] == hot for i in got["large"]) / 60 < share
+        if gather > 7:
+            assert sorted(got["all"]) == ids[train].tolist()
+            whole = rows
+    rows = whole
     label = {r.row_id: r.label for r in rows if r.request_id == "all"}
     assert label[1] == 9  # the latest delivery's
     assert examples.where(F.col("row_id") == 1).count() == 2
