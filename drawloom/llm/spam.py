@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawloom.llm.collisions import hash_share
-from drawloom.llm.page_features import NAMES, features
+from drawloom.llm.page_features import NAMES, features_of
 from drawloom.llm.sizing import source_key
 from drawloom.llm.storage import busy, stored
 
 #: Labelled pages of each class that the trees are fitted on, at most.
 SAMPLE = 15_000
-#: Labelled pages of each class below which the weak labels decide alone.
-ENOUGH = 25
 TREES, DEPTH, LEAF, CUTS = 30, 7, 4, 48
 #: How much a host's log odds of spam count, and the pages a host is shrunk by.
 HOST_WEIGHT, HOST_PRIOR = 0.25, 20.0
@@ -136,19 +134,20 @@ def described(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [features(t) for t in batch.column(2).to_pylist()]
-            weak = [weak_label(r) if r[0] or any(r) else HAM for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64())), pa.array(weak, pa.int32())], names=["doc_id", "host", "f", "weak"])
+            rows = features_of(batch.column(2).to_pylist())
+            weak = [weak_label(r) if any(r) else HAM for r in rows.tolist()]
+            ends = pa.array(np.arange(batch.num_rows + 1) * rows.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(rows.reshape(-1))), pa.array(weak, pa.int32())], names=["doc_id", "host", "f", "weak"])
 
     return narrow.mapInArrow(run, "doc_id bigint, host string, f array<double>, weak int")
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, seed: int = 3) -> list[Tree] | None:
-    """Trees from at most `sample` labelled pages of each class, chosen by hash; None where a class has too few."""
+    """Trees from at most `sample` labelled pages of each class, the first by hash; None where no page of a class is labelled."""
     counts = {r.weak: r["count"] for r in pages.where("weak >= 0").groupBy("weak").count().collect()}
-    if min(counts.get(SPAM, 0), counts.get(HAM, 0)) < ENOUGH:
+    if not counts.get(SPAM) or not counts.get(HAM):
         return None
-    parts = [pages.where((F.col("weak") == k) & hash_share("doc_id", min(1.0, sample / counts[k]), seed)).select("f", "weak").limit(sample) for k in (SPAM, HAM)]
+    parts = [pages.where((F.col("weak") == k) & hash_share("doc_id", min(1.0, 1.1 * sample / counts[k]), seed)).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).select("f", "weak") for k in (SPAM, HAM)]
     got = parts[0].union(parts[1]).toArrow()
     x = np.array(got.column(0).to_pylist(), float)
     y = got.column(1).to_numpy().astype(float)
