@@ -94,6 +94,10 @@ def plain(text: str) -> tuple[str, float]:
     return out, min(1.0, (min(hidden, words) + spread[0] + swapped[0]) / words)
 
 
+#: Blanks from which a part is not looked at for being short.
+SHORT = 8
+
+
 def cut_at(text: str, ends: tuple[str, ...]) -> str:
     """text with a line break at each of the ends."""
     for end in ends:
@@ -185,7 +189,7 @@ def _features(texts: list[str | None]) -> np.ndarray:
         lengths.extend(map(len, units))
         ended.extend(u.rstrip()[-1:] in ".!?:" for u in units)
         parts = [p for p in map(str.strip, cut_at(lined.lower(), PARTS).split("\n")) if p]
-        short = sum(k for k in (p.count(" ") + 1 for p in parts) if k <= 3)
+        short = sum(k for k in (len(WORD.findall(p)) for p in parts if p.count(" ") < SHORT) if k <= 3)
         repeats = (len(parts) - sum(c == 1 for c in Counter(parts).values())) / max(len(parts), 1)
         told[page] = (
             max(len(open_text.strip()) + recorded, 1), linked, sum(map(len, anchors)), tagged, len(GOODS.findall(open_text)), disguised, short, repeats, recorded,
@@ -260,7 +264,7 @@ def _features(texts: list[str | None]) -> np.ndarray:
     out = np.stack([
         np.log1p(n), n_function / m, per_page(page, is_offer[word] if len(word) else None) / m, top_pair / m, top_triple / m,
         pair_repeats, variety / content**0.75, top_word / content, top_three / content, rising, per_page(page, capital) / m,
-        linked / total, titled / total, tagged / total, goods / m, disguised, np.minimum(short, n) / m, repeats, per_page(page, alone) / m, longest / m,
+        linked / total, titled / total, tagged / total, goods / m, disguised, short / m, repeats, per_page(page, alone) / m, longest / m,
         sentence_words / m, per_page(page_of_unit, stuffed) / np.maximum(sentences, 1), recorded / total, numbers / m, np.log1p(n / np.maximum(lines, 1)), bare_units / total,
         np.minimum(1.0, (linked + tagged + titled + bare_units) / total), prose / total,
     ], axis=1)

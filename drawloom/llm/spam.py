@@ -68,9 +68,13 @@ class Tree:
 
 
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> Tree:
-    """One tree by Gini impurity over quantile cuts, a random part of the features at each node."""
+    """One tree by Gini impurity over quantile cuts, a random part of the features at each node.
+
+    A leaf holds LEAF pages, or a sixteenth of all where that is less.
+    """
     feature, cut, left, value = [], [], [], []
     tries = max(1, int(np.sqrt(x.shape[1]) * 1.5))
+    leaf = max(1, min(LEAF, len(x) // 16))
 
     def node(rows):
         w = weight[rows]
@@ -80,7 +84,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Genera
     todo = [(node(np.arange(len(x))), np.arange(len(x)), 0)]
     while todo:
         at, rows, depth = todo.pop()
-        if depth >= DEPTH or len(rows) < 2 * LEAF or value[at] in (0.0, 1.0):
+        if depth >= DEPTH or len(rows) < 2 * leaf or value[at] in (0.0, 1.0):
             continue
         w, p = weight[rows], weight[rows] * y[rows]
         best = (1e-9, None, None)
@@ -93,7 +97,7 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Genera
             order = np.argsort(v, kind="stable")
             cw, cp, sv = np.cumsum(w[order]), np.cumsum(p[order]), v[order]
             upto = np.searchsorted(sv, cuts, "right")
-            fine = (upto >= LEAF) & (upto <= len(v) - LEAF)
+            fine = (upto >= leaf) & (upto <= len(v) - leaf)
             if not fine.any():
                 continue
             lw, lp = cw[upto[fine] - 1], cp[upto[fine] - 1]
