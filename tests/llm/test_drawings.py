@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from drawloom.llm import bounds as B
 from drawloom.llm import collisions as C
 from drawloom.llm import drawings as D
 from drawloom.llm import fingerprints as P
@@ -179,6 +180,25 @@ def test_many_deliveries_of_one_row_are_placed(spark):
     assert cells.sizes == {0: 30} and cells.rows.count() == 30
 
 
+@pytest.mark.parametrize("paired", [B.PAIRED, 0])
+def test_neighbours_across_cells_are_all_found(spark, monkeypatch, paired):
+    # forty pairs of cosine 0.93 whose drawings lie in cells of different representatives, these being at 0.72 to them
+    monkeypatch.setattr(B, "PAIRED", paired)
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(12):
+        e = np.linalg.qr(rng.standard_normal((784, 3)))[0].T
+        turn = lambda degrees, e=e: np.cos(np.radians(degrees)) * e[0] + np.sin(np.radians(degrees)) * e[1]
+        for j, degrees in enumerate((0, 43, 43 + 21.5, 43 + 21.5 + 43)):
+            rows.append((100 * k + j, "train", [float(np.float32(v)) for v in turn(degrees) + 0.002 * j * e[2]]))
+    df = spark.createDataFrame(rows, "row_id bigint, split string, x array<float>")
+    x = np.array([r[2] for r in rows], np.float32).astype(float)
+    s = np.round(cosines(x), 6)
+    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(len(rows)) if i != j and s[i, j] >= 0.71}
+    got = {(r.row_id, r.other) for r in N.nearest_drawings(df, k=5).collect()}
+    assert got == want and len([1 for i, j in want if j - i == 1]) == 36
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rng = np.random.default_rng(3)
     x = [float(v) for v in drawing(rng, shapes(rng, 1)[0])]
@@ -332,7 +352,7 @@ def test_bounds_keep_every_near_pair():
     cell = rng.integers(0, 6, 300)
     u = D.unit((forms[cell] * rng.random((300, 784)) + 0.3 * rng.random((300, 1)) * forms[rng.integers(0, 6, 300)]).astype(np.float32))
     for least in (0.5, 0.71, 0.8):
-        bounds = K.Bounds(np.array([u[cell == c].mean(axis=0) for c in range(6)]), np.arange(6), float(np.arccos(least)))
+        bounds = B.Bounds(np.array([u[cell == c].mean(axis=0) for c in range(6)]), np.arange(6), float(np.arccos(least)))
         radii: dict = {}
         bounds.widest(u, cell, radii)
         bounds.radii = np.array([radii[c] for c in range(6)])
