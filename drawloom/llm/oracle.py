@@ -27,6 +27,13 @@ ORACLE = {
       c AS (SELECT label, count(*) AS n FROM (SELECT {LABEL} AS label FROM e WHERE lower(trim(split)) = 'train') WHERE label IS NOT NULL GROUP BY label)
       SELECT t.plan_id, t.label FROM class_targets t LEFT JOIN c ON c.label = t.label
       WHERE coalesce(c.n, 0) < greatest(t.min_rows::DOUBLE, round(t.target_share * t.sample_rows, 6))""",
+    "p3_report": f"""WITH e AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY loaded_at DESC) AS rn FROM examples) WHERE rn = 1),
+      c AS (SELECT label, count(*) AS n FROM (SELECT {LABEL} AS label FROM e WHERE lower(trim(split)) = 'train') WHERE label IS NOT NULL GROUP BY label)
+      SELECT t.plan_id, t.label, t.sample_rows, t.target_share, t.min_rows, greatest(t.min_rows::DOUBLE, round(t.target_share * t.sample_rows, 6)) AS needed, coalesce(c.n, 0) AS available,
+      coalesce(c.n, 0) >= greatest(t.min_rows::DOUBLE, round(t.target_share * t.sample_rows, 6)) AS met FROM class_targets t LEFT JOIN c ON c.label = t.label""",
+    "p5_sizes": f"""WITH {DRAWINGS}, t AS (SELECT * FROM n WHERE train),
+      e AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b FROM t a JOIN t b ON list_inner_product(a.x, b.x) / (a.len * b.len) >= 0.71 OR a.row_id = b.row_id),
+      {ROUNDS} SELECT low AS cluster_row, count(*) AS size FROM l8 GROUP BY low""",
     "p4_found": f"""WITH {DRAWINGS}, s AS (SELECT a.row_id AS a, b.row_id AS b, round(list_inner_product(a.x, b.x) / (a.len * b.len), 6) AS c FROM n a JOIN n b ON a.row_id <> b.row_id),
       r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s WHERE c >= 0.71)
       SELECT DISTINCT least(a, b) AS row_a, greatest(a, b) AS row_b FROM r WHERE place <= 5""",

@@ -78,9 +78,9 @@ def pack_group(capacity: int):
 def pieces(sized: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, piece, tokens): one item a document, or full pieces and a rest where it is over capacity.
 
-    Documents without tokens are no items; of repeated doc_ids each row is an item of its own only if its size differs.
+    Documents without tokens are no items; of rows of one doc_id the longest counts.
     """
-    some = sized.where("doc_id is not null and tokens > 0").select("doc_id", "tokens").dropDuplicates(["doc_id"])
+    some = sized.where("doc_id is not null and tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     count = F.ceil(F.col("tokens") / capacity).cast("int")
     cut = some.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
     return cut.select("doc_id", "piece", F.least(F.lit(capacity).cast("bigint"), F.col("tokens") - F.col("piece") * capacity).alias("tokens"))

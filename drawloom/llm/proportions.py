@@ -106,3 +106,10 @@ def proportional_sample(examples: DataFrame, targets: DataFrame, seed: int = 23)
     order = Window.partitionBy("plan_id", "label", "bucket").orderBy("h", "row_id")
     sample = placed.withColumn("at", F.row_number().over(order)).where(F.col("before") + F.col("at") <= F.col("sampled"))
     return sample.select("plan_id", "row_id", "label"), report
+
+
+def unmet(sample: DataFrame, report: DataFrame) -> DataFrame:
+    """(plan_id, label) of the targets that the rows drawn fall short of, and that all rows with the label would not meet."""
+    drawn = sample.groupBy("plan_id", "label").agg(F.count(F.lit(1)).alias("drawn"))
+    short = report.join(drawn, ["plan_id", "label"], "left").where(F.coalesce("drawn", F.lit(0)) < F.col("needed"))
+    return short.where("not met").select("plan_id", "label")

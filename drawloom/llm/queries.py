@@ -10,7 +10,7 @@ from drawloom.llm.neighbours import nearest_drawings, similar_pairs
 from drawloom.llm.oracle import ORACLE
 from drawloom.llm.overlap import overlap_report, overlaps
 from drawloom.llm.packing import pack, packing_report, split_documents
-from drawloom.llm.proportions import proportional_sample
+from drawloom.llm.proportions import proportional_sample, unmet
 from drawloom.llm.spam import spam_pages
 from drawloom.llm.variety import varied_subsets
 from drawloom.sources.tables import read_table
@@ -38,8 +38,8 @@ def _proportional(spark, d):
 
 
 def p3_found(spark, d):
-    """Rows of class_targets whose target cannot be met."""
-    return _proportional(spark, d)[1].where("not met").select("plan_id", "label")
+    """Rows of class_targets whose target cannot be met: those the drawn sample is short of, if all rows there are would not do either."""
+    return unmet(*_proportional(spark, d))
 
 
 def p3_sample(spark, d):
@@ -48,8 +48,14 @@ def p3_sample(spark, d):
 
 
 def p3_report(spark, d):
-    """Needed, available and sampled rows of every row of class_targets."""
-    return _proportional(spark, d)[1]
+    """Needed and available rows of every row of class_targets."""
+    return _proportional(spark, d)[1].drop("sampled")
+
+
+def p3_deviation(spark, d):
+    """Rows drawn for every row of class_targets, and how far that is from its share of the sample."""
+    off = F.round(F.col("sampled") - F.col("target_share") * F.col("sample_rows"), 6)
+    return _proportional(spark, d)[1].select("plan_id", "label", "sampled", off.alias("deviation"))
 
 
 def p4_found(spark, d):
@@ -62,6 +68,11 @@ def p5_found(spark, d):
     return cluster_drawings(read_table(spark, d, "examples"), vectors=False).select("row_id", "cluster_row")
 
 
+def p5_sizes(spark, d):
+    """The size of every cluster."""
+    return p5_found(spark, d).groupBy("cluster_row").agg(F.count(F.lit(1)).alias("size"))
+
+
 def p5_clusters(spark, d):
     """Size and most typical drawings of every cluster."""
     return describe_clusters(cluster_drawings(read_table(spark, d, "examples")))
@@ -93,8 +104,8 @@ def _mixed(spark, d):
 
 
 def p7_found(spark, d):
-    """Rows of mix_targets whose source cannot reach its target."""
-    return _mixed(spark, d)[1].where("not reachable").select("mix_id", "source")
+    """Rows of mix_targets whose source cannot reach its target: those that got too little, if all uses there are would not do either."""
+    return _mixed(spark, d)[1].where("got < wanted and not reachable").select("mix_id", "source")
 
 
 def p7_drawn(spark, d):
