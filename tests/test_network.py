@@ -228,3 +228,16 @@ def test_stream_equals_table(spark, tmp_path):
     got = stream_to_table(spark, predictions_stream(spark, str(tmp_path / "in")), "running", str(tmp_path / "check")).first()
     want = running_accuracy(df).first()
     assert (got.n_rows, got.acc, got.top3) == (want.n_rows, want.acc, want.top3) and got.acc == 0.5
+
+
+def test_step_in_place_gives_the_same_bits_without_new_arrays():
+    rng = np.random.default_rng(2)
+    mine = N.xavier([N.Dense(6, "relu"), N.Dense(3)], 5, seed=1)
+    theirs = [(w.copy(), b.copy(), act) for w, b, act in mine]
+    held = [w for w, _, _ in theirs]
+    for _ in range(5):
+        x, y = rng.random((4, 5)), np.eye(3)[rng.integers(0, 3, 4)]
+        mine = G.step(mine, G.losses_and_gradients(x, y, mine, "softmax_ce")[1], 0.1, 4)
+        G.step_in_place(theirs, G.losses_and_gradients(x, y, theirs, "softmax_ce")[1], 0.1, 4)
+    assert all((a == c).all() and (b == d).all() for (a, b, _), (c, d, _) in zip(mine, theirs))
+    assert all(h is w for h, (w, _, _) in zip(held, theirs))
